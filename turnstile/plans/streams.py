@@ -1 +1,129 @@
-SQL = {}
+"""The streaming jobs as registered queries: the tables are read as streams and drained."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnstile.operators import payments
+from turnstile.plans.catalog import query, replay_start, start_state, unchecked
+from turnstile.session import scratch_path
+from turnstile.sources.fixtures import Fixtures
+from turnstile.streaming import jobs
+from turnstile.streaming.tables import newest
+
+# The log is sparse: a few requests per client and day.
+SPARSE_LIMITS = {"global": (24 * 60, 5), "auth": (12 * 60, 1), "registration": (6 * 60, 1)}
+
+
+class StreamFixtures(Fixtures):
+    """The same tables with the fact files read as streams."""
+
+    STREAMED = ("lineitem", "events")
+
+    def base(self, name: str) -> DataFrame:
+        if name not in self.STREAMED:
+            return super().base(name)
+        schema = super().base(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
+
+def _live(f: Fixtures) -> StreamFixtures:
+    return StreamFixtures(f.spark, f.sf_dir)
+
+
+def _scan_answers(f: Fixtures) -> str:
+    path = scratch_path(f.spark, "scans")
+    jobs.stream_scans(_live(f).scans, unchecked(f), f.ticket_types, f.ev, path).awaitTermination()
+    return path
+
+
+@query
+def stream_scans(f):
+    path = _scan_answers(f)
+    return f.spark.read.parquet(f"{path}/answers").select(
+        "ticket_code", "event_id", "scan_ts", "attempt", "result", "registration_id"
+    )
+
+
+@query
+def stream_checkin_stats(f):
+    path = _scan_answers(f)
+    answers = f.spark.read.parquet(f"{path}/answers")
+    stream = f.spark.readStream.schema(answers.schema).parquet(f"{path}/answers")
+    entries = stream.filter(F.col("result") == "VALID")
+    jobs.log_updates(jobs.stream_checkin_stats(entries, by_ticket_type=True), f"{path}/stats").awaitTermination()
+    return newest(jobs.updates(f.spark, f"{path}/stats"), ["event_id", "ticket_type_id"])
+
+
+@query
+def stream_webhooks(f):
+    tx, reg = replay_start(f)
+    path = scratch_path(f.spark, "webhooks")
+    live = _live(f)
+    jobs.stream_webhooks(live.webhooks, tx, path).awaitTermination()
+    state = jobs.webhook_state(jobs.updates(f.spark, path))
+    out = payments.apply_effects(reg, payments.registration_effects(state, tx))
+    return out.select("id", "event_id", "status", "payment_method", "paid_at", "platform_fee", "net_amount")
+
+
+@query
+def stream_admissions(f):
+    tt, promo = start_state(f)
+    path = scratch_path(f.spark, "admissions")
+    jobs.stream_admissions(_live(f).requests, f.ev, tt, promo, path).awaitTermination()
+    return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
+
+
+@query
+def rate_violations(f):
+    return jobs.rate_violations(f.request_log, SPARSE_LIMITS)
+
+
+@query
+def stream_rate_violations(f):
+    path = scratch_path(f.spark, "rates")
+    jobs.log_updates(jobs.rate_violations(_live(f).request_log, SPARSE_LIMITS), path).awaitTermination()
+    keys = ["client", "limiter", "window_start", "window_minutes", "allowed"]
+    return newest(jobs.updates(f.spark, path), keys)
+
+
+@query
+def stream_daily(f):
+    path = scratch_path(f.spark, "daily")
+    jobs.log_updates(jobs.stream_daily(_live(f).registrations, f.ev), path).awaitTermination()
+    return newest(jobs.updates(f.spark, path), ["organizer_id", "date"])
+
+
+def _rate_sql() -> str:
+    parts = [
+        f"""
+SELECT client, '{limiter}' AS limiter, time_bucket(INTERVAL '{minutes} minutes', ts, TIMESTAMP '1970-01-01') AS window_start,
+  {minutes} AS window_minutes, {allowed} AS allowed, count(*) AS requests
+FROM request_log WHERE {"TRUE" if limiter == "global" else f"limiter = '{limiter}'"} GROUP BY ALL HAVING count(*) > {allowed}"""
+        for limiter, (minutes, allowed) in SPARSE_LIMITS.items()
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+def _sql() -> dict[str, str]:
+    from turnstile.plans.oracle import SQL as BATCH
+
+    answers = BATCH["classify_scans"]
+    return {
+        "stream_scans": f"SELECT ticket_code, event_id, scan_ts, attempt, result, registration_id FROM ({answers}) a",
+        "stream_checkin_stats": f"""
+SELECT a.event_id, r.ticket_type_id, count(*) AS checked_in, max(a.scan_ts) AS last_entry
+FROM ({answers}) a JOIN registrations r ON r.id = a.registration_id WHERE a.result = 'VALID' GROUP BY 1, 2""",
+        "stream_webhooks": BATCH["reconcile_webhooks"],
+        "rate_violations": _rate_sql(),
+        "stream_rate_violations": _rate_sql(),
+        "stream_daily": """
+SELECT e.organizer_id, cast(r.created_at AS date) AS date, count(*) AS registrations,
+  count(*) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')) AS confirmed,
+  cast(coalesce(sum(r.amount_paid) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')), 0) AS decimal(22,2)) AS revenue
+FROM registrations r JOIN ev e ON e.id = r.event_id GROUP BY 1, 2""",
+    }
+
+
+SQL = _sql()
