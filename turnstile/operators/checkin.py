@@ -45,10 +45,8 @@ def classify_scans(scans: DataFrame, reg: DataFrame, tt: DataFrame, ev: DataFram
         .groupBy("ticket_code", *key, "scan_ts", "attempt")
         .agg(F.count("*").alias("_n"))
     )
-    first = (
-        scans.groupBy(X.normal_code(F.col("ticket_code")).alias("code"), "event_id")
-        .agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
-    )
+    # Built on the same aggregate, whose shuffle is read twice instead of reading the scans twice.
+    first = seen.groupBy(*key).agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
     types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type_name"))
     events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"))
     tickets = (

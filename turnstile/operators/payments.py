@@ -95,12 +95,14 @@ def notice_state(hooks: DataFrame) -> DataFrame:
     )
 
 
-def known_notices(hooks: DataFrame, tx: DataFrame, site_id: str | None = None) -> DataFrame:
-    """Notices of our site for known transactions that were not settled before."""
-    if site_id is not None:
-        hooks = hooks.filter(F.col("cpm_site_id") == site_id)
+def of_site(hooks: DataFrame, site_id: str | None) -> DataFrame:
+    return hooks if site_id is None else hooks.filter(F.col("cpm_site_id") == site_id)
+
+
+def of_open_transactions(rows: DataFrame, tx: DataFrame) -> DataFrame:
+    """Notices, or their state, of known transactions that were not settled before."""
     open_tx = tx.filter(F.col("status") != "SUCCESS").select("transaction_id")
-    return hooks.join(open_tx, "transaction_id", "left_semi")
+    return rows.join(open_tx, "transaction_id", "left_semi")
 
 
 def _failed_status(result: Column) -> Column:
@@ -178,8 +180,9 @@ def apply_effects(reg: DataFrame, effects: DataFrame) -> DataFrame:
 def reconcile_webhooks(
     hooks: DataFrame, tx: DataFrame, reg: DataFrame, pct=X.DEFAULT_FEE_PCT, site_id: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Transactions and registrations after a feed of provider notices."""
-    state = notice_state(known_notices(hooks, tx, site_id))
+    """Transactions and registrations after a feed of provider notices. Notices are summed up per
+    transaction first, so repeats without end never reach a join."""
+    state = of_open_transactions(notice_state(of_site(hooks, site_id)), tx)
     return settle_transactions(tx, state), apply_effects(reg, registration_effects(state, tx, pct))
 
 

@@ -97,7 +97,8 @@ def stream_webhooks(
 ) -> StreamingQuery:
     """Keep, per transaction, its first verified success and last failure as a streaming aggregate
     and log every change."""
-    state = payments.notice_state(payments.known_notices(hooks, tx, site_id))
+    known = payments.of_open_transactions(payments.of_site(hooks, site_id), tx)
+    state = payments.notice_state(known)
     return log_updates(state, path, **trigger)
 
 
