@@ -82,9 +82,9 @@ def running_rank(
     hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
     n_hot = hot.agg(F.sum("count")).first()[0]
     if not n_hot:
-        return df.withColumn(name, F.row_number().over(plain))
+        return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
     hot_keys = hot.select(*keys)
     cold = df.join(hot_keys, keys, "left_anti").withColumn(name, F.row_number().over(plain).cast("bigint"))
     split = sliced(df.join(hot_keys, keys, "left_semi"), [*keys, *order], hot_rows, n_hot)
     ranked = slice_counts(split, keys, order, {name: F.lit(1)}).drop("_slice")
-    return cold.unionByName(ranked.withColumn(name, F.col(name) + 1)).withColumn(name, F.col(name).cast("int"))
+    return cold.unionByName(ranked.withColumn(name, F.col(name) + 1))

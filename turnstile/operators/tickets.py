@@ -35,7 +35,7 @@ def assign_sort_order(
     last = tt.groupBy("event_id").agg(F.max("sort_order").alias("_last"))
     ranked = running_rank(new_rows, ["event_id"], order, "_rank", hot_rows)
     next_order = F.coalesce("_last", F.lit(-1)) + F.col("_rank")
-    return ranked.join(last, "event_id", "left").select(*new_rows.columns, next_order.alias("sort_order"))
+    return ranked.join(last, "event_id", "left").select(*new_rows.columns, next_order.cast("int").alias("sort_order"))
 
 
 def promo_usability(promo: DataFrame) -> DataFrame:

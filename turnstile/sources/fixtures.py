@@ -361,10 +361,12 @@ STORED = (
 
 
 def store(tables: Fixtures, path: str) -> None:
-    """Write the ticketing tables as parquet, spread over the session's cores."""
+    """Write the ticketing tables as parquet, spread over the session's cores. Later tables are
+    derived from the stored ones."""
     parts = tables.spark.sparkContext.defaultParallelism
     for name in STORED:
         getattr(tables, name).repartition(parts).write.mode("overwrite").parquet(f"{path}/{name}")
+        tables.__dict__[name] = tables.spark.read.parquet(f"{path}/{name}")
 
 
 class StoredTables(Fixtures):

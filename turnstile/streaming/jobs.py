@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from turnstile.functions import exprs as X
 from turnstile.operators import admission, checkin, payments
@@ -37,7 +37,7 @@ def updates(spark, path: str) -> DataFrame:
 
 # --- lateness --------------------------------------------------------------------------------------
 
-_CLOCK = StructType.fromDDL("newest timestamp_ntz")
+_CLOCK = StructType([StructField("newest", TimestampNTZType())])
 
 
 def mark_late(batch: DataFrame, clock: DataFrame, time_col: str, delay: str) -> DataFrame:
