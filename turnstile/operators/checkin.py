@@ -45,25 +45,30 @@ def classify_scans(scans: DataFrame, reg: DataFrame, tt: DataFrame, ev: DataFram
         .groupBy("ticket_code", *key, "scan_ts", "attempt")
         .agg(F.count("*").alias("_n"))
     )
-    # Built on the same aggregate, whose shuffle is read twice instead of reading the scans twice.
-    first = seen.groupBy(*key).agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
-    types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type_name"))
-    events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"))
-    tickets = (
-        reg.select(
-            F.col("ticket_code").alias("code"),
-            "event_id",
-            F.col("id").alias("registration_id"),
-            "ticket_type_id",
-            "status",
-            "checked_in",
-        )
-        .join(types, "ticket_type_id")
-        .join(events, "event_id")
+    first = (
+        scans.groupBy(X.normal_code(F.col("ticket_code")).alias("code"), "event_id")
+        .agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
+    )
+    tickets = reg.select(
+        F.col("ticket_code").alias("code"),
+        "event_id",
+        F.col("id").alias("registration_id"),
+        "ticket_type_id",
+        "status",
+        "checked_in",
     )
     known = tickets.join(first, key)
     standing = _standing(F.col("registration_id"), F.col("status"), F.col("checked_in"))
-    answered = seen.join(known, key, "left").withColumn("_standing", standing)
+    # Names are joined to the answers: registrations, the larger side, are moved only once.
+    types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type_name"))
+    events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("_title"))
+    answered = (
+        seen.join(known, key, "left")
+        .withColumn("_standing", standing)
+        .join(types, "ticket_type_id", "left")
+        .join(events, "event_id", "left")
+        .withColumn("event_title", F.when(F.col("registration_id").isNotNull(), F.col("_title")))
+    )
     is_first = F.struct("scan_ts", "attempt", "ticket_code") == F.col("_first")
     single = _expand(answered.withColumn("_is_first", is_first), "_n", "_copy")
     result = F.when(
@@ -117,9 +122,10 @@ def checkin_by_ticket_type(tt: DataFrame, reg: DataFrame) -> DataFrame:
 def recent_entries(reg: DataFrame, tt: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` latest entries of each event."""
     types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type"))
-    entered = reg.filter("checked_in").join(types, "ticket_type_id")
-    latest = top_k(entered, ["event_id"], [F.col("checked_in_at").desc_nulls_first(), F.col("id")], k)
-    return latest.select(
+    latest = top_k(
+        reg.filter("checked_in"), ["event_id"], [F.col("checked_in_at").desc_nulls_first(), F.col("id")], k
+    )
+    return latest.join(types, "ticket_type_id").select(
         "event_id", "position", "first_name", "last_name", "ticket_code", "ticket_type", "checked_in_at"
     )
 

@@ -63,8 +63,8 @@ def marketplace_listing(
     limit: int = 12,
     fanout: bool = False,
 ) -> DataFrame:
-    """Published events that have not ended, soonest first. The page is cut on events alone,
-    before registrations and ticket types are joined."""
+    """Published events that have not ended, soonest first; the whole listing without a ``page``.
+    The page is cut on events, before registrations and ticket types are joined."""
     shown = _open(ev, as_of)
     if q:
         shown = shown.filter(X.contains_any(q, F.col("title"), F.col("description"), F.col("city")))
@@ -76,6 +76,10 @@ def marketplace_listing(
     order = [F.col("start_date").asc_nulls_last(), F.col("id")]
     # Owners are joined first so that the page holds only events the listing can show.
     shown = page_of(shown.select("organizer_id", *_EVENT_COLUMNS).join(owners, "organizer_id"), order, page, limit)
+    if page is not None:
+        # At most ``limit`` events: facts of other events are dropped before any shuffle.
+        wanted = F.broadcast(shown.select(F.col("id").alias("event_id")))
+        reg, tt = reg.join(wanted, "event_id", "left_semi"), tt.join(wanted, "event_id", "left_semi")
     return (
         shown.join(_paid_per_event(reg), "id", "left")
         .join(_offer_per_event(tt), "id", "left")

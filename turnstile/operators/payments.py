@@ -253,17 +253,17 @@ def payment_history(
     page: int | None = 1,
     limit: int = 20,
 ) -> DataFrame:
-    """Transactions newest first, one page per organizer. The status filter is case-sensitive."""
+    """Transactions newest first, one page per organizer. The status filter is case-sensitive.
+    Registration and event are declared references, so the page is cut before they are joined."""
     if status:
         tx = tx.filter(F.col("status") == status)
     if event_id is not None:
         tx = tx.filter(F.col("event_id") == event_id)
     people = reg.select(F.col("id").alias("registration_id"), "first_name", "last_name", "email", "ticket_code")
     events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"))
-    rows = tx.join(events, "event_id").join(people, "registration_id")
     order = [F.col("created_at").desc_nulls_first(), F.col("transaction_id")]
-    listed = page_per_key(rows, ["organizer_id"], order, page, limit)
-    return listed.select(
+    listed = page_per_key(tx, ["organizer_id"], order, page, limit)
+    return listed.join(events, "event_id").join(people, "registration_id").select(
         "organizer_id", *(["position"] if page else []), "id", "transaction_id", "amount", "currency",
         "status", "provider", "payment_method", "created_at", "webhook_received_at", _meta_money("platform_fee"),
         _meta_money("net_amount"), "first_name", "last_name", "email", "ticket_code", "event_title",

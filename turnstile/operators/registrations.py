@@ -34,11 +34,12 @@ def registration_search(
     page: int | None = 1,
     limit: int = 20,
 ) -> DataFrame:
-    """Participants with their ticket, newest first, one page per event."""
-    found = registration_filter(reg, status, search).join(_types(tt), "ticket_type_id")
+    """Participants with their ticket, newest first, one page per event. Every registration has its
+    ticket type (a declared reference), so the page is cut before the join."""
+    found = registration_filter(reg, status, search)
     order = [F.col("created_at").desc_nulls_first(), F.col("id")]
     listed = page_per_key(found, ["event_id"], order, page, limit)
-    return listed.select(*reg.columns, "ticket_type_name", "ticket_price", *(["position"] if page else []))
+    return listed.join(_types(tt), "ticket_type_id").select(*reg.columns, "ticket_type_name", "ticket_price", *(["position"] if page else []))
 
 
 def registration_detail(reg: DataFrame, tt: DataFrame) -> DataFrame:
