@@ -49,6 +49,11 @@ def usable_promo(now: Column) -> Column:
     )
 
 
+def with_event_of_slug(requests: DataFrame, ev: DataFrame) -> DataFrame:
+    """Requests that name their event by ``slug``, with its ``event_id``; unknown slugs drop out."""
+    return requests.join(ev.select("slug", F.col("id").alias("event_id")), "slug")
+
+
 def valid_promos(promo: DataFrame, requests: DataFrame, as_of) -> DataFrame:
     """Requests (request_id, event_id, code, …) whose code is valid now, with the promo's terms."""
     terms = promo.filter(usable_promo(X.ts(as_of))).select(

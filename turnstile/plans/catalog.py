@@ -210,6 +210,15 @@ def valid_promos(f):
     )
 
 
+@query
+def valid_promos_by_slug(f):
+    slugs = f.ev.select(F.col("id").alias("event_id"), "slug")
+    asked = _promo_requests(f).join(slugs, "event_id").drop("event_id")
+    return tickets.valid_promos(f.promo_codes, tickets.with_event_of_slug(asked, f.ev), AS_OF).select(
+        "request_id", "event_id", "code", "promo_code_id", "discount_type", "discount_value"
+    )
+
+
 @query
 def promo_quote(f):
     return tickets.promo_quote(f.promo_codes, f.ticket_types, _promo_requests(f), AS_OF).select(
@@ -952,7 +961,7 @@ def duplicate_accounts(f):
 def assign_slugs(f):
     shouted = f.ev.select("id", F.concat(F.lit("  É"), F.upper("title"), F.lit(" & Co!  ")).alias("title"))
     out = identifiers.assign_slugs(shouted, "title", "id")
-    return out.select("id", "slug_base")
+    return out.select("id", "slug_base", "slug")
 
 
 @query

@@ -72,7 +72,7 @@ def stream_admissions(f):
     tt, promo = start_state(f)
     path = scratch_path(f.spark, "admissions")
     jobs.stream_admissions(_live(f).requests, f.ev, tt, promo, path).awaitTermination()
-    return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
+    return f.spark.read.parquet(f"{path}/outcomes").drop("batch", "late")
 
 
 @query
@@ -116,6 +116,7 @@ def _sql() -> dict[str, str]:
 SELECT a.event_id, r.ticket_type_id, count(*) AS checked_in, max(a.scan_ts) AS last_entry
 FROM ({answers}) a JOIN registrations r ON r.id = a.registration_id WHERE a.result = 'VALID' GROUP BY 1, 2""",
         "stream_webhooks": BATCH["reconcile_webhooks"],
+        "stream_admissions": BATCH["admit_registrations_public"],
         "rate_violations": _rate_sql(),
         "stream_rate_violations": _rate_sql(),
         "stream_daily": """
