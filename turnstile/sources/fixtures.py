@@ -5,7 +5,7 @@ Each function is a lazy view: a query reads only the columns it uses.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +26,13 @@ def _shifted(day: str, key: str, factor: int, span: int) -> Column:
 class Fixtures:
     spark: SparkSession
     sf_dir: str
+    _read: dict[str, DataFrame] = field(default_factory=dict)
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A source table; its footer is looked at once."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def organizers(self) -> DataFrame:
