@@ -79,11 +79,13 @@ def test_fold_equals_sequential(spark, mode, seed):
 
 
 @pytest.mark.parametrize("mode", ["organizer", "public"])
-def test_one_event_over_many_slices_equals_sequential(spark, mode):
-    """One event holds all requests; it is split into slices of about 25 rows."""
+@pytest.mark.parametrize("fold_rows", [0, 20, 100])
+def test_one_event_over_many_slices_equals_sequential(spark, mode, fold_rows):
+    """One event holds all requests, in slices of about 25 rows. With 0 the rounds decide every
+    request; else the sorted pass decides what is open when at most ``fold_rows`` are."""
     case = random_case(11, 250, n_events=1)
     ev, tt, promo, req, reg = frames(spark, case)
-    out = admit_registrations(req, ev, tt, promo, reg, mode, fold_rows=20, slice_rows=25)
+    out = admit_registrations(req, ev, tt, promo, reg, mode, fold_rows=fold_rows, slice_rows=25)
     check(out, expected(case, mode))
 
 

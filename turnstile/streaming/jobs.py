@@ -18,6 +18,19 @@ from turnstile.operators import admission, checkin, payments
 from turnstile.streaming.tables import BatchLog, BatchState
 
 
+def kept(handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Keep the rows of a batch while it is handled: the handler reads them more than once."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, n)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def each_batch(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger
 ) -> StreamingQuery:
@@ -80,7 +93,7 @@ def stream_scans(
         entered.write(stored.filter(F.col("result") == "VALID"), n)
         clock.write(stored.agg(F.max("scan_ts").alias("newest")), n)
 
-    return each_batch(scans, handle, f"{path}/checkpoint", **trigger)
+    return each_batch(scans, kept(handle), f"{path}/checkpoint", **trigger)
 
 
 def stream_checkin_stats(valid_scans: DataFrame, by_ticket_type: bool = False) -> DataFrame:
@@ -157,7 +170,7 @@ def stream_admissions(
         admitted.write(admission.accepted_registrations(stored), n)
         clock.write(stored.agg(F.max("requested_at").alias("newest")), n)
 
-    return each_batch(requests, handle, f"{path}/checkpoint", **trigger)
+    return each_batch(requests, kept(handle), f"{path}/checkpoint", **trigger)
 
 
 # --- request rates -------------------------------------------------------------------------------------
