@@ -161,7 +161,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         links = C.store(links.union(_similar(pairs, nodes, texts)), "links")
         retired = others.select("key", F.col("centre").alias("node"))
         live = live.select("key", "node").join(retired, ["key", "node"], "left_anti")
-    rows = sketch.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = sketch.select("id", "k", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("c"))
     rows = rows.join(least, "root", "left").withColumn("c", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
     return rows.select("id", "k", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
