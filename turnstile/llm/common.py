@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.session import scratch_path
+from turnstile.session import scratch_path, tune
 
 #: Bytes that separate words: the complement of [^\x20\x09-\x0D].
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -24,6 +24,12 @@ LOWER[65:91] += 32
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches cut by bytes: texts differ much in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return tune(spark)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write df into the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.llm import common as C
-from turnstile.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +15,7 @@ ORACLE: dict[str, str] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tune(spark), sf_dir)
+        return fn(C.prepare(spark), sf_dir)
 
     QUERIES[fn.__name__] = run
     return fn
@@ -31,3 +30,37 @@ def op4_minhash_near_dedup(spark, sf_dir):
     from turnstile.llm import near_duplicates
 
     return near_duplicates.components(documents(spark, sf_dir))
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    from turnstile.llm import repeats
+
+    kept = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op2_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), wins AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS win
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)
+), again AS (
+  SELECT win FROM wins GROUP BY win HAVING count(*) > 1
+), hit AS (
+  SELECT r, i FROM wins SEMI JOIN again USING (win)
+), marked AS (
+  SELECT p.r, p.i, p.word,
+    coalesce(max(h.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+  FROM p LEFT JOIN hit h ON h.r = p.r AND h.i = p.i
+), s AS (
+  SELECT r, count(*) AS n, count(*) FILTER (gone) AS x, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY r
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, coalesce(s.x, 0)::BIGINT AS n_removed,
+  sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (r)
+"""
