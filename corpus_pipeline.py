@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.llm import near_duplicates
-from turnstile.llm.common import read_table, store
-from turnstile.session import tune
+from turnstile.llm.common import prepare, read_table, store
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +19,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(tune(spark), sf_dir, "documents")
+    docs = read_table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
     return docs
