@@ -64,3 +64,19 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, coalesce(s.x, 0)::BIGINT A
   sha256(coalesce(s.kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (r)
 """
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_token_files(spark, sf_dir):
+    from turnstile.llm import token_files
+
+    docs = documents(spark, sf_dir)
+    folder = token_files.new_folder(spark)
+    shards = token_files.write_tokens(docs, folder, tokenizer_file("word_bpe_49k.json"))
+    return token_files.read_digests(shards, folder, dict(docs.dtypes)["doc_id"])
