@@ -80,3 +80,18 @@ def op3_token_files(spark, sf_dir):
     folder = token_files.new_folder(spark)
     shards = token_files.write_tokens(docs, folder, tokenizer_file("word_bpe_49k.json"))
     return token_files.read_digests(shards, folder, dict(docs.dtypes)["doc_id"])
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels are never learnt."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    from turnstile.llm import toxicity
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = C.read_table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.train(docs, labels)
+    return toxicity.judge(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
