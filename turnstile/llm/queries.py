@@ -95,3 +95,12 @@ def op10_toxicity(spark, sf_dir):
     labels = C.read_table(spark, sf_dir, "labels").where(~held_out())
     model = toxicity.train(docs, labels)
     return toxicity.judge(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_source_mix(spark, sf_dir):
+    from turnstile.llm import mixing
+
+    docs = documents(spark, sf_dir)
+    rows = mixing.sized(docs).select("doc_id", "_source", "_key", "size")
+    return mixing.mix(C.store(rows, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
