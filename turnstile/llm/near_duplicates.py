@@ -1,10 +1,10 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document's set holds its distinct shingles of `WORDS` lower-cased words. Documents with equal sets form
-one class; 128 minima per class give 28 band keys of three minima and a signature of the low two bits of
-all minima. Classes that share a band key are candidates; the number of equal bit pairs, corrected for
+one class; 300 minima per class give 60 band keys of five minima each and a signature of the low two bits
+of 128 of them. Classes that share a band key are candidates; the number of equal bit pairs, corrected for
 chance collisions, estimates their similarity, and what may reach the threshold is confirmed on the full
-sets. At the threshold a pair is missed by all bands with probability (1 - 0.75^3)^28 = 2e-7, and by the
+sets. At the threshold a pair is missed by all bands with probability (1 - 0.75^5)^60 = 9e-8, and by the
 estimate (six standard deviations below) with less.
 
 No bucket is expanded into all its pairs. Each round compares the members of a bucket with a few centres,
@@ -31,11 +31,12 @@ from pyspark.sql.window import Window
 from turnstile.llm import common as C
 
 WORDS, PERCENT = 5, 75
-HASHES, BANDS, ROWS = 128, 28, 3
+BANDS, ROWS = 60, 5
+HASHES, SIGNED = BANDS * ROWS, 128
 #: Least estimate to be confirmed: six standard deviations (0.05) below the threshold.
 LEAST_ESTIMATE = 0.45
 #: Centres per bucket and round, after the first.
-CENTRES = 16
+CENTRES = 64
 
 _ODD = np.random.RandomState(20).randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -71,11 +72,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(HASHES if len(at) else 0):
                 np.minimum.reduceat(low * _ODD[i], at, out=minima[i])
             wide = C.mix(minima.astype(np.uint64))
-            pairs = (wide & np.uint64(3)).reshape(HASHES // 32, 32, -1)
+            pairs = (wide[:SIGNED] & np.uint64(3)).reshape(SIGNED // 32, 32, -1)
             sig = np.bitwise_or.reduce(pairs << fields[None, :, None], axis=1)
             bands = np.zeros((BANDS, len(at)), np.uint64)
             for r in range(ROWS):
-                bands = C.mix(bands + wide[r : BANDS * ROWS : ROWS] + np.uint64(r))
+                bands = C.mix(bands + wide[r::ROWS] + np.uint64(r))
             bands = C.mix(bands ^ np.arange(BANDS, dtype=np.uint64)[:, None])
             node = [None] * (b - a)
             for j, x in zip(full.tolist(), np.stack(sums, 1), strict=True):
@@ -115,13 +116,23 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    differ = " + ".join(f"bit_count((sa[{i}] ^ sb[{i}] | shiftrightunsigned(sa[{i}] ^ sb[{i}], 1)) & 6148914691236517205L)" for i in range(HASHES // 32))
+    differ = " + ".join(f"bit_count((sa[{i}] ^ sb[{i}] | shiftrightunsigned(sa[{i}] ^ sb[{i}], 1)) & 6148914691236517205L)" for i in range(SIGNED // 32))
     # Equal bit pairs happen by chance in a quarter of the cases: (p - 1/4) / (1 - 1/4).
-    pairs = pairs.where(f"(1 - ({differ}) / {HASHES}.0D - 0.25D) / 0.75D >= {LEAST_ESTIMATE}D").select("a", "b")
+    pairs = pairs.where(f"(1 - ({differ}) / {SIGNED}.0D - 0.25D) / 0.75D >= {LEAST_ESTIMATE}D").select("a", "b")
     text = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary")
 
 
+def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots with the components joined that the links (a, b) connect."""
+    of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}"))
+    links = C.store(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "joined")
+    merged = C.store(C.connected(links, "merged"), "merged").toDF("root", "to")
+    old = roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = merged.join(roots.select(F.col("node").alias("root")), "root", "left_anti")
+    return C.store(old.union(new), "roots")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs; id_col is an integer column."""
     return _components(docs, id_col, text_col).withColumnRenamed("id", id_col).drop("k")
@@ -144,8 +155,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = C.store(_similar(pairs, nodes, texts), "links")
     live = members.where("node <> centre").select("key", "node")
+    roots = C.store(C.connected(links, "roots"), "roots")
     while True:
-        roots = C.store(C.connected(links, "roots"), "roots")
         rooted = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         live = C.store(rooted.join(open_, "key", "left_semi"), "open")
@@ -158,9 +169,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         others = C.store(others.select("key", F.col("node").alias("centre"), F.col("root").alias("c_root")), "centres")
         pairs = live.join(others, "key").where("root <> c_root")
         pairs = pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        links = C.store(links.union(_similar(pairs, nodes, texts)), "links")
+        links = C.store(_similar(pairs, nodes, texts), "links")
         retired = others.select("key", F.col("centre").alias("node"))
         live = live.select("key", "node").join(retired, ["key", "node"], "left_anti")
+        if not links.isEmpty():
+            roots = _merge(roots, links)
     rows = sketch.select("id", "k", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("c"))
     rows = rows.join(least, "root", "left").withColumn("c", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
