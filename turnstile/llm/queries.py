@@ -104,3 +104,21 @@ def op5_source_mix(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = mixing.sized(docs).select("doc_id", "_source", "_key", "size")
     return mixing.mix(C.store(rows, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_sentence_pieces(spark, sf_dir):
+    from turnstile.llm import sentence_pieces
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text"))
+    out = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "score",
+        F.col("nbest.score").alias("nbest_scores"),
+        "ids_crc32",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
