@@ -122,3 +122,10 @@ def op7_sentence_pieces(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query
+def op8_order_minhash(spark, sf_dir):
+    from turnstile.llm import order_minhash
+
+    return order_minhash.edit_report(documents(spark, sf_dir))
