@@ -129,3 +129,10 @@ def op8_order_minhash(spark, sf_dir):
     from turnstile.llm import order_minhash
 
     return order_minhash.edit_report(documents(spark, sf_dir))
+
+
+@query
+def op9_quality_divergence(spark, sf_dir):
+    from turnstile.llm import divergence
+
+    return divergence.judge(documents(spark, sf_dir))
