@@ -136,3 +136,17 @@ def op9_quality_divergence(spark, sf_dir):
     from turnstile.llm import divergence
 
     return divergence.judge(documents(spark, sf_dir))
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    from turnstile.llm import url_filter
+
+    pages = C.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    # The number in a path is the page's document; a bad or toxic document labels its URL.
+    number = F.regexp_extract("url", r"^[^?#]*?://[^/?#]*/[a-z]+/([0-9]{1,18})", 1)
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labels = C.read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    pages = pages.withColumn("_doc", F.when(number != "", number.cast("long")))
+    pages = pages.join(labels, F.col("_doc") == F.col("doc_id"), "left").select("page_id", "url", "bad")
+    return url_filter.judge(pages, label_col="bad")
