@@ -150,3 +150,10 @@ def op6_url_filter(spark, sf_dir):
     pages = pages.withColumn("_doc", F.when(number != "", number.cast("long")))
     pages = pages.join(labels, F.col("_doc") == F.col("doc_id"), "left").select("page_id", "url", "bad")
     return url_filter.judge(pages, label_col="bad")
+
+
+@query
+def op1_kneser_ney_quality(spark, sf_dir):
+    from turnstile.llm import kneser_ney
+
+    return kneser_ney.classify(documents(spark, sf_dir), C.read_table(spark, sf_dir, "labels"))
