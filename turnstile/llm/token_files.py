@@ -7,8 +7,8 @@ the prefix sum of the counts before it, so a document's place in the whole is ba
 memory-mapped when read. Files are written under a name of their own and then renamed, so a repeated task
 replaces a shard with the same bytes.
 
-White space separates tokens in this vocabulary, so a text's ids are those of its words, one after the
-other; each distinct word of a batch is encoded once.
+White space separates words in this vocabulary, and so does the border between a letter and punctuation, so
+a text's ids are those of these pieces, one after the other; each distinct piece of a batch is encoded once.
 
 Nulls: a NULL text is empty and has the end id alone. Ids ascend, NULL last; rows with equal ids follow
 their texts' hashes. Repeated rows are written each. Other columns are not read. No rows: no shards.
@@ -33,47 +33,105 @@ from pyspark.sql.window import Window
 from turnstile.llm import common as C
 from turnstile.session import scratch_path
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Pieces of words that are encoded at a time.
+TOGETHER = 400
+
+# Classes of bytes: white space, ASCII letters, punctuation that a word is cut at beside a letter (the
+# tokenizer cuts there as well), and all others.
+_SPACE, _LETTER, _CUT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = _CUT
+_CLASS[list(C.SEPARATORS)] = _SPACE
+#: Second bytes of the small letters from U+00DF on that have the first byte 0xC3.
+_TRAIL = np.zeros(256, bool)
+_TRAIL[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 
 
 class Encoder:
-    """Ids of whole texts by the distinct words in them; keeps the ids of words seen."""
+    """Ids of whole texts by the distinct pieces of their words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and their number for each piece."""
+        buf, off = C.raw(column)
+        kind = _CLASS[buf]
+        small = (kind == _LETTER) & (buf >= 97)
+        wide = np.flatnonzero(buf[:-1] == 0xC3) if len(buf) else off[:0]
+        wide = wide[_TRAIL[buf[wide + 1]]]
+        small[wide] = small[wide + 1] = True
+        size = np.diff(off)
+        # One word to the tokenizer and in its own spelling: small letters or punctuation only.
+        whole = np.add.reduceat(small, off[:-1], dtype=np.int64) == size
+        whole |= np.add.reduceat(kind == _CUT, off[:-1], dtype=np.int64) == size
+        ids: list = [None] * len(column)
+        own = np.flatnonzero(whole)
+        part = column.take(pa.array(own))
+        flat, at = C.raw(part)
+        text = np.full(len(flat) + len(own), 0x20, np.uint8)
+        text[np.arange(len(flat)) + np.repeat(np.arange(len(own)), np.diff(at))] = flat
+        text, at = text.tobytes(), at + np.arange(len(at))
+        odd = np.flatnonzero(~whole).tolist()
+        groups = []
+        for a in range(0, len(own), TOGETHER):
+            some = own[a : a + TOGETHER]
+            words = text[at[a] : at[a + len(some)] - 1].decode()
+            got = np.array(self.tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) == len(some):
+                groups.append((some, got, np.diff(ends, prepend=0)))
+            else:  # not one word each after all
+                odd += some.tolist()
+        words = column.take(pa.array(odd, pa.int64())).to_pylist()
+        for a in range(0, len(odd), TOGETHER):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + TOGETHER], add_special_tokens=False)]
+            groups.append((np.array(odd[a : a + TOGETHER]), np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got])))
+        if not groups:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        which, ids, size = (np.concatenate(x) for x in zip(*groups, strict=True))
+        base, order = np.cumsum(size) - size, np.argsort(which)
+        return ids[C.ranges(base[order], size[order])], size[order]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with end_id after each text, and len + 1 offsets."""
-        w = C.Words(texts)
-        length = w.end - w.begin
-        off = np.concatenate(([0], np.cumsum(length)))
-        flat = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(w.buf[w.is_word].tobytes()))
+        buf, off = C.raw(texts)
+        kind = _CLASS[buf]
+        word = kind != _SPACE
+        begin = word.copy()
+        begin[1:] &= kind[1:] != kind[:-1]
+        if b"<|" in buf.tobytes():  # a special token could stand here: it is neither cut nor lowered
+            begin[1:] &= kind[:-1] == _SPACE
+        else:
+            # Of neighbours of different classes only a letter and punctuation are cut apart.
+            begin[1:] &= (kind[:-1] == _SPACE) | ((kind[1:] ^ kind[:-1]) == (_LETTER ^ _CUT))
+            # A capital before a mark may compose differently than its small letter.
+            low = C.LOWER[buf]
+            keep = np.flatnonzero((buf[1:] >= 128) & (low[:-1] != buf[:-1])) if len(buf) else off[:0]
+            low[keep] = buf[keep]
+            buf = low
+        begin[(heads := off[:-1][off[:-1] < len(buf)])] |= word[heads]
+        at = np.flatnonzero(begin)
+        length = np.add.reduceat(word, at, dtype=np.int64) if len(at) else at
+        flat = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], np.cumsum(length))).astype(np.int64)), pa.py_buffer(buf[word].tobytes()))
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = [x for x in words if x not in self.seen]
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.seen[x] = np.array(e.ids, np.uint32)
-        ids = [self.seen[x] for x in words]
-        size = np.array([len(x) for x in ids], np.int64)
-        table = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        base = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else size
+        ids, size = self.pieces(coded.dictionary)
+        base = np.cumsum(size) - size
         code = coded.indices.to_numpy()
         n = size[code]
         total = np.concatenate(([0], np.cumsum(n)))
-        starts = total[w.first] + np.arange(len(w.first))  # one end id for each text before
+        starts = total[np.searchsorted(at, off)] + np.arange(len(off))  # one end id for each text before
         out = np.full(int(starts[-1]), end_id, np.uint32)
         body = np.ones(len(out), bool)
         body[starts[1:] - 1] = False
-        out[body] = table[C.ranges(base[code], n)]
+        out[body] = ids[C.ranges(base[code], n)]
         return out, starts
 
 
@@ -101,14 +159,16 @@ def mapped(folder: str, name: str) -> pa.Buffer:
 
 def _writer(folder: str, tokenizer: str, kind: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer, Encoder(tokenizer)) if tokenizer not in _encoders else _encoders[tokenizer]
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = Encoder(tokenizer)
+        encoder = _encoders[tokenizer]
         shard = TaskContext.get().partitionId()
         offsets, docs = [np.zeros(1, np.int64)], []
 
         def write(f):
             for batch in batches:
                 text = C.plain_text(batch.column(1))
-                for a, b in C.chunks(text):
+                for a, b in C.chunks(text, 8 << 20):
                     ids, starts = encoder.encode(text.slice(a, b - a), end_id)
                     f.write(ids.astype(kind).tobytes())
                     offsets.append(offsets[-1][-1] + starts[1:])
