@@ -119,9 +119,10 @@ def mix(docs: DataFrame) -> DataFrame:
     # The blocks are cut evenly; the last one ends with the source.
     end = F.when(F.col("_i") + 1 == F.col("_blocks"), F.col("_at") + F.col("size")).otherwise(F.least(F.ceil((F.col("_i") + 1) * F.col("_step")), F.col("_at") + F.col("size")))
     spans = spans.select("_r", "_i", "_at", (begin - F.col("_at")).alias("b"), (end - F.col("_at")).alias("e")).where("e > b")
-    spans = spans.join(blocks.where("_times > 0"), ["_r", "_i"])
+    # Sizes behind an explode are guessed far too small, and neither side has a bound to broadcast by.
+    spans = spans.join(blocks.where("_times > 0").hint("merge"), ["_r", "_i"])
     takes = spans.groupBy("_r", "_at").agg(F.sum(F.expr("(e - b) * _times")).alias("_taken"), F.sort_array(F.collect_list(F.struct("b", "e", F.col("_times").alias("times")))).alias("_takes"))
-    out = docs.join(takes, ["_r", "_at"], "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
+    out = docs.join(takes.hint("merge"), ["_r", "_at"], "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
     return out.drop("_r", "_at", "_shard", "_from", "_step", "_blocks", "_base", "_taken", "_key", "_source")
 
 
