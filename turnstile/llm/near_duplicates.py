@@ -1,16 +1,18 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document's set holds its distinct shingles of `WORDS` lower-cased words. Documents with equal sets form
-one class; 300 minima per class give 60 band keys of five minima each and a signature of the low two bits
-of 128 of them. Classes that share a band key are candidates; the number of equal bit pairs, corrected for
+one class; of 300 minima per class, 160 give 40 band keys of four minima each, and the low four bits of all
+are its signature. Classes that share a band key are candidates; the number of equal fields, corrected for
 chance collisions, estimates their similarity, and what may reach the threshold is confirmed on the full
-sets. At the threshold a pair is missed by all bands with probability (1 - 0.75^5)^60 = 9e-8, and by the
-estimate (six standard deviations below) with less.
+sets. At the threshold a pair is missed by all bands with probability (1 - 0.75^4)^40 = 2.5e-7, and by the
+estimate (5.7 standard deviations below) with less.
 
-No bucket is expanded into all its pairs. Each round compares the members of a bucket with a few centres,
-links are merged into components, and buckets whose members have become one component are done; a centre
-has met all members and retires. Rounds go on until no bucket holds members of two components, so every
-candidate pair is compared or already connected.
+No bucket is expanded into all its pairs as rows. First its members meet its first and its last member; links
+are merged into components, and buckets whose members have become one component are done. The members of the others
+are dealt out in blocks, block against block, and compared there by their signatures; those with a possible
+partner in another component meet once more with their full sets, and only the links that join components
+come out. So every candidate pair is compared or already connected, and no task holds more than two blocks
+of a bucket at a time.
 
 Nulls: a NULL text, an empty text and one without words have the empty set and are linked with nothing.
 Rows with a NULL id take part; a component's id is the smallest id that is not NULL. Repeated rows are
@@ -26,17 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from turnstile.llm import common as C
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS = 60, 5
-HASHES, SIGNED = BANDS * ROWS, 128
-#: Least estimate to be confirmed: six standard deviations (0.05) below the threshold.
-LEAST_ESTIMATE = 0.45
-#: Centres per bucket and round, after the first.
-CENTRES = 64
+BANDS, ROWS = 40, 4
+HASHES, BITS = 300, 4
+#: Longs of a signature.
+SIGNATURE = -(-HASHES * BITS // 64)
+#: Least estimate to be confirmed; the estimate's standard deviation at the threshold is 0.026.
+LEAST_ESTIMATE = 0.6
+#: Members of a bucket that are compared with as many others at a time; pairs looked at in one go.
+BLOCK, PAIRS = 512, 100_000
 
 _ODD = np.random.RandomState(20).randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -58,7 +61,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
-    fields = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    fields = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
     for batch in batches:
         text = C.plain_text(batch.column(2))
         for a, b in C.chunks(text):
@@ -72,11 +75,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(HASHES if len(at) else 0):
                 np.minimum.reduceat(low * _ODD[i], at, out=minima[i])
             wide = C.mix(minima.astype(np.uint64))
-            pairs = (wide[:SIGNED] & np.uint64(3)).reshape(SIGNED // 32, 32, -1)
-            sig = np.bitwise_or.reduce(pairs << fields[None, :, None], axis=1)
+            low_bits = np.zeros((SIGNATURE * len(fields), len(at)), np.uint64)
+            low_bits[:HASHES] = wide & np.uint64((1 << BITS) - 1)
+            sig = np.bitwise_or.reduce(low_bits.reshape(SIGNATURE, len(fields), -1) << fields[None, :, None], axis=1)
             bands = np.zeros((BANDS, len(at)), np.uint64)
             for r in range(ROWS):
-                bands = C.mix(bands + wide[r::ROWS] + np.uint64(r))
+                bands = C.mix(bands + wide[r : BANDS * ROWS : ROWS] + np.uint64(r))
             bands = C.mix(bands ^ np.arange(BANDS, dtype=np.uint64)[:, None])
             node = [None] * (b - a)
             for j, x in zip(full.tolist(), np.stack(sums, 1), strict=True):
@@ -111,14 +115,114 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+#: Equal fields that different minima have by chance, and the number of different fields of signatures sa, sb.
+_CHANCE = 1 / (1 << BITS)
+_DIFFERENT = " + ".join(
+    f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)" for x in (f"(sa[{i}] ^ sb[{i}])" for i in range(SIGNATURE))
+)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (key, i, j, block, node, root, n, sig): those that have a partner in their group (key, i,
+    j) of another component, and of the other block if the group has two, whose signature lets them link."""
+    ones = np.uint64(0x1111111111111111)
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, block, n = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "n"))
+        node, root = rows.column("node").combine_chunks(), rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), SIGNATURE)
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        end = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))
+        later = end - np.arange(len(key)) - 1
+        total, a, hit = np.cumsum(later), 0, np.zeros(len(key), bool)
+        while a < len(key):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            x = np.repeat(np.arange(a, b), later[a:b])
+            y = C.ranges(np.arange(a, b) + 1, later[a:b])
+            a = b
+            ok = (root[x] != root[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            d = sig[x] ^ sig[y]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            equal = 1 - np.bitwise_count(d & ones).sum(1, dtype=np.int64) / HASHES
+            ok = (equal - _CHANCE) / (1 - _CHANCE) >= LEAST_ESTIMATE
+            hit[x[ok]] = hit[y[ok]] = True
+        if hit.any():
+            yield from rows.select(range(6)).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    yield from _groups(batches, solve)
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (key, i, j, block, node, root, text): links (a, b) that connect the components of a group
+    (key, i, j) as all its links do. Set sizes of all pairs come from a product of incidence matrices."""
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+        root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        texts, sets = rows.column("text").combine_chunks().cast(pa.large_string()), []
+        for a, b in C.chunks(texts):
+            values, off = shingle_sets(texts.slice(a, b - a))
+            sets += np.split(values, off[1:-1])
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        found: list[tuple[int, int]] = []
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            size = np.array([len(x) for x in sets[a:b]])
+            shingle, code = np.unique(np.concatenate(sets[a:b]), return_inverse=True)
+            owner = np.repeat(np.arange(b - a), size)
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            both = np.zeros((b - a, b - a), np.float32)  # whole numbers below 2^24
+            for low in range(0, len(shingle), 4096):
+                part = slice(*np.searchsorted(code, (low, low + 4096)))
+                held = np.zeros((b - a, min(4096, len(shingle) - low)), np.float32)
+                held[owner[part], code[part] - low] = 1
+                both += held @ held.T
+            linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+            linked &= (root[a:b, None] != root[None, a:b]) & ((i[a] == j[a]) | (block[a:b, None] != block[None, a:b]))
+            parent = {r: r for r in root[a:b].tolist()}
+
+            def top(r, parent=parent):
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            for x, y in zip(*(z.tolist() for z in np.nonzero(np.triu(linked))), strict=True):
+                p, q = top(int(root[a + x])), top(int(root[a + y]))
+                if p != q:
+                    parent[p] = q
+                    found.append((a + x, a + y))
+        if found:
+            node = rows.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+
+    yield from _groups(batches, solve)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """solve() of tables that hold whole groups of sorted (key, i, j)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        # The last group may go on in the next batch.
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1])) if len(key) else []
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield from solve(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield from solve(table)
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the distinct pairs (a, b): those that estimate, sizes and at last the full sets let through."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    differ = " + ".join(f"bit_count((sa[{i}] ^ sb[{i}] | shiftrightunsigned(sa[{i}] ^ sb[{i}], 1)) & 6148914691236517205L)" for i in range(SIGNED // 32))
-    # Equal bit pairs happen by chance in a quarter of the cases: (p - 1/4) / (1 - 1/4).
-    pairs = pairs.where(f"(1 - ({differ}) / {SIGNED}.0D - 0.25D) / 0.75D >= {LEAST_ESTIMATE}D").select("a", "b")
+    pairs = pairs.where(F.expr(f"(1 - ({_DIFFERENT}) / {HASHES}.0D - {_CHANCE}D) / {1 - _CHANCE}D >= {LEAST_ESTIMATE}D")).select("a", "b")
     text = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary")
 
@@ -146,34 +250,26 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = sketch.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = C.store(nodes, "classes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("c")).where("c > 1").drop("c")
+    buckets = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = C.store(banded.join(buckets, "key"), "buckets")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "k")
     near = C.flagged(docs.select("k", "text"), F.col("k"), wanted, "maybe").where("maybe")
     texts = near.join(wanted, "k").groupBy("node").agg(F.min("text").alias("text"))
     texts = C.store(texts, "texts")
-    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    ends = [members.where(f"node <> {c}").select(F.greatest("node", c).alias("a"), F.least("node", c).alias("b")) for c in ("first", "last")]
+    pairs = ends[0].union(ends[1]).distinct()
     links = C.store(_similar(pairs, nodes, texts), "links")
-    live = members.where("node <> centre").select("key", "node")
     roots = C.store(C.connected(links, "roots"), "roots")
-    while True:
-        rooted = live.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        live = C.store(rooted.join(open_, "key", "left_semi"), "open")
-        if live.isEmpty():
-            break
-        sizes = live.groupBy("key", "root").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        others = live.join(largest, "key").where("root <> largest").withColumn("r", rank).where(f"r <= {CENTRES}")
-        others = C.store(others.select("key", F.col("node").alias("centre"), F.col("root").alias("c_root")), "centres")
-        pairs = live.join(others, "key").where("root <> c_root")
-        pairs = pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        links = C.store(_similar(pairs, nodes, texts), "links")
-        retired = others.select("key", F.col("centre").alias("node"))
-        live = live.select("key", "node").join(retired, ["key", "node"], "left_anti")
-        if not links.isEmpty():
-            roots = _merge(roots, links)
+    rooted = members.where("node <> first AND node <> last").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y")
+    live = rooted.join(open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    live = live.join(nodes.select("node", "n", "sig"), "node").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    live = live.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    live = live.select("key", "i", "j", "block", "node", "root", "n", "sig").repartition(C.partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = live.mapInArrow(_compare, "key long, i int, j int, block int, node binary, root binary")
+    near = near.join(texts, "node").select("key", "i", "j", "block", "node", "root", "text")
+    near = near.repartition(C.partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    roots = _merge(roots, C.store(near.mapInArrow(_link, "a binary, b binary"), "links"))
     rows = sketch.select("id", "k", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("c"))
     rows = rows.join(least, "root", "left").withColumn("c", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
