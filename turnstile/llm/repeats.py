@@ -1,6 +1,6 @@
 """Removal of repeated passages by super-k-mers.
 
-A window is `WINDOW` consecutive words of one text. Its minimiser is the least hash among its 8-word
+A window is `WINDOW` consecutive words of one text. Its minimiser is the least hash among its 5-word
 sequences, so equal windows have equal minimisers; consecutive windows with one minimiser travel as one
 packed string of words to the minimiser's bucket. A bucket counts its windows exactly: equal packed strings
 are combined first, the windows of the others are sorted by a 64-bit hash and equal hashes are compared
@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 
 from turnstile.llm import common as C
 
-WINDOW, SEED_WORDS = 35, 8
+WINDOW, SEED_WORDS = 35, 5
 HOT_SHARE = 1000
 #: Raw bytes that a task gathers before it packs them by bucket, and that a bucket unpacks at a time.
-GATHER, UNPACK = 32 << 20, 24 << 20
+GATHER, UNPACK = 24 << 20, 16 << 20
 KEY = 12
 
 
@@ -118,7 +118,7 @@ def _pack(buckets: int, hot: np.ndarray) -> Callable:
         keys = [k for r in rows for k in r[5]]
         order, bucket = order.tolist(), bucket[order]
         cut = np.flatnonzero(np.diff(bucket)) + 1
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=5)
         out = []
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
             own = [strings[i] for i in order[a:b]]
