@@ -3,7 +3,7 @@
 import re
 from decimal import Decimal
 
-EMAIL = re.compile(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+EMAIL = re.compile(r"[^\s\ufeff@]+@[^\s\ufeff@]+\.[^\s\ufeff@]+")
 
 
 def admit(requests, events, types, promos, existing, mode):
@@ -19,7 +19,7 @@ def admit(requests, events, types, promos, existing, mode):
         if public:
             if not q["first_name"] or not q["last_name"] or not q["email"] or q["ticket_type_id"] is None:
                 return "MISSING_FIELD", None
-            if not EMAIL.match(q["email"]):
+            if not EMAIL.fullmatch(q["email"]):
                 return "EMAIL_INVALID", None
         event = events.get(q["event_id"])
         if event is None or event["status"] != "PUBLISHED":

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import admit
+from turnstile.functions import exprs as X
+from turnstile.operators import admission, quality
 from turnstile.operators.admission import admit_registrations, accepted_registrations, counters_after
+from turnstile.sources.sinks import append_table
 
 T0 = dt.datetime(2000, 1, 1)
 EV = "id int, organizer_id int, status string, capacity int"
@@ -79,20 +82,63 @@ def test_fold_equals_sequential(spark, mode, seed):
 
 
 @pytest.mark.parametrize("mode", ["organizer", "public"])
-@pytest.mark.parametrize("fold_rows", [0, 20, 100])
-def test_one_event_over_many_slices_equals_sequential(spark, mode, fold_rows):
-    """One event holds all requests, in slices of about 25 rows. With 0 the rounds decide every
-    request; else the sorted pass decides what is open when at most ``fold_rows`` are."""
+@pytest.mark.parametrize("slice_rows", [10, 25, 100])
+def test_one_event_over_many_slices_equals_sequential(spark, mode, slice_rows):
+    """One event holds all requests."""
     case = random_case(11, 250, n_events=1)
     ev, tt, promo, req, reg = frames(spark, case)
-    out = admit_registrations(req, ev, tt, promo, reg, mode, fold_rows=fold_rows, slice_rows=25)
+    out = admit_registrations(req, ev, tt, promo, reg, mode, slice_rows=slice_rows)
     check(out, expected(case, mode))
 
 
+@pytest.mark.parametrize("size", [250, 1000])
+def test_an_event_takes_at_most_a_round_per_slice(spark, monkeypatch, size):
+    """Random limits leave nearly every request open for long: a round settles a slice at least."""
+    case = random_case(13, size, n_events=1)
+    ev, tt, promo, req, reg = frames(spark, case)
+    rounds = []
+    count = admission.slice_counts
+    monkeypatch.setattr(admission, "slice_counts", lambda df, *a: rounds.append(1) or count(df, *a))
+    check(admit_registrations(req, ev, tt, promo, reg, "public", slice_rows=size // 10), expected(case, "public"))
+    assert 0 < len(rounds) / len(admission._limits(True)) <= 12
+
+
+def test_half_the_requests_ask_for_one_event(spark, sf_dir):
+    """The hot event lies over several slices, the others mostly in one."""
+    case = random_case(17, 400, n_events=1)
+    other = random_case(18, 400, n_events=3)
+    ev = case[0] + [(e + 100, *x) for e, *x in other[0]]
+    tt = case[1] + [(t + 1000, e + 100, *x) for t, e, *x in other[1]]
+    promo = case[2] + [(p + 1000, e + 100, *x) for p, e, *x in other[2]]
+    req = case[3] + [(i + 1000, e + 100, t + 1000, *x) for i, e, t, *x in other[3]]
+    mixed = (ev, tt, promo, req, case[4])
+    check(admit_registrations(*[frames(spark, mixed)[i] for i in (3, 0, 1, 2, 4)], "public", slice_rows=60), expected(mixed, "public"))
+
+
+def test_addresses_with_odd_white_space_are_refused(spark):
+    odd = ["a@b.c", "a@b.c\n", "a@b.c\u00a0", "\u2003a@b.c", "a@b.c\ufeff", "x@y.z"]
+    out = _one_type(spark, [(m, None) for m in odd])
+    assert [r.outcome for r in out] == ["ACCEPTED", *["EMAIL_INVALID"] * 4, "ACCEPTED"]
+
+
+def test_accepted_requests_can_be_stored(spark, tmp_path):
+    case = random_case(9, 200)
+    ev, tt, promo, req, reg = frames(spark, case)
+    req = req.withColumn("phone", F.when(F.col("request_id") % 2 == 0, "").otherwise("+1"))
+    given = reg.withColumn("ticket_code", X.ticket_code(F.lit("3")))  # the code request 3 would get
+    got = accepted_registrations(admit_registrations(req, ev, tt, promo, given, "public"))
+    append_table(got, "registrations", str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    assert stored.count() > 0 and stored.filter("phone = ''").count() == 0 and stored.filter("phone = '+1'").count() > 0
+    assert stored.join(given, "ticket_code").count() == 0
+    audit = quality.constraint_audit({"registrations": stored})
+    assert audit.filter("rule <> 'FOREIGN_KEY'").count() == 0
+
+
 def test_mixed_event_sizes(spark):
     case = random_case(5, 240)
     ev, tt, promo, req, reg = frames(spark, case)
-    out = admit_registrations(req, ev, tt, promo, reg, "public", fold_rows=60, slice_rows=30)
+    out = admit_registrations(req, ev, tt, promo, reg, "public", slice_rows=30)
     check(out, expected(case, "public"))
 
 

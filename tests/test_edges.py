@@ -285,7 +285,7 @@ def test_rank_of_hot_keys_equals_plain_rank(spark):
         F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("k"), (F.col("id") * 7919 % 97).alias("t"), "id"
     )
     plain = running_rank(df, ["k"], ["t", "id"], "rank")
-    split = running_rank(df, ["k"], ["t", "id"], "rank", hot_rows=150)
+    split = running_rank(df, ["k"], ["t", "id"], "rank", slice_rows=150)
     assert plain.dtypes == split.dtypes and plain.exceptAll(split).count() == 0 and split.count() == 5000
 
 

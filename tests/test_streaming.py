@@ -31,7 +31,7 @@ def test_admissions_in_micro_batches(spark, tmp_path):
     first = 946684800  # 2000-01-01
     slot = F.floor((F.unix_seconds(F.col("requested_at").cast("timestamp")) - first) / (26 * 3600))
     stream = as_stream(req, str(tmp_path / "in"), slot, 4)
-    jobs.stream_admissions(stream, ev, tt, promo, str(tmp_path / "out"), existing=reg, fold_rows=40).awaitTermination()
+    jobs.stream_admissions(stream, ev, tt, promo, str(tmp_path / "out"), existing=reg, every=2).awaitTermination()
     got = {r.request_id: r.outcome for r in spark.read.parquet(str(tmp_path / "out/outcomes")).collect()}
     want = admit(*[rows(s, case[i]) for i, s in ((3, REQ), (0, EV), (1, TT), (2, PROMO), (4, REG))], "public")
     assert got == {k: v[0] for k, v in want.items()}
@@ -74,31 +74,67 @@ def test_webhooks_in_micro_batches(spark, sf_dir, tmp_path):
     hooks = f.webhooks.cache()
     # Deliveries out of order: the cut has nothing to do with the notices' times.
     slot = F.pmod(F.xxhash64("transaction_id", "attempt"), F.lit(3))
-    jobs.stream_webhooks(as_stream(hooks, str(tmp_path / "in"), slot, 3), tx, str(tmp_path / "out")).awaitTermination()
-    state = jobs.webhook_state(jobs.updates(spark, str(tmp_path / "out")))
-    want_tx, want_reg = payments.reconcile_webhooks(hooks, tx, reg)
+    path = str(tmp_path / "out")
+    jobs.stream_webhooks(as_stream(hooks, str(tmp_path / "in"), slot, 3), path, "SITE-1", every=2).awaitTermination()
+    state = jobs.webhook_state(spark, path, hooks.schema)
+    want_tx, want_reg = payments.reconcile_webhooks(hooks, tx, reg, "SITE-1")
     got_reg = payments.apply_effects(reg, payments.registration_effects(state, tx))
     got_tx = payments.settle_transactions(tx, state)
     assert same(got_reg, want_reg) and same(got_tx, want_tx)
 
 
-def test_rates_and_days_in_micro_batches(spark, sf_dir, tmp_path):
+def test_rates_and_days_in_any_order(spark, sf_dir, tmp_path):
+    """Rows of every order, a file per micro-batch: nothing is lost, and late rows are counted."""
     f = load(spark, sf_dir)
     limits = {"global": (1440, 5), "auth": (720, 1)}
     log = f.request_log.cache()
-    day = F.when(F.col("ts") < "2024-01-10", 0).when(F.col("ts") < "2024-01-20", 1).otherwise(2)
-    live = jobs.rate_violations(as_stream(log, str(tmp_path / "log"), day, 3), limits)
-    jobs.log_updates(live, str(tmp_path / "rates")).awaitTermination()
-    keys = ["client", "limiter", "window_start", "window_minutes", "allowed"]
-    want = jobs.rate_violations(log, limits)
-    assert same(newest(jobs.updates(spark, str(tmp_path / "rates")), keys).select(*want.columns), want) and want.count() > 0
+    anyhow = F.pmod(F.xxhash64("request_id"), F.lit(5))
+    jobs.stream_rates(as_stream(log, str(tmp_path / "log"), anyhow, 5), str(tmp_path / "rates"), limits, every=2).awaitTermination()
+    got, want = jobs.rates_so_far(spark, str(tmp_path / "rates"), log.schema, limits), jobs.rate_violations(log, limits)
+    assert same(got.drop("late"), want) and want.count() > 0 and got.filter("late > 0").count() > 0
 
     reg = f.registrations.select("event_id", "status", "amount_paid", "created_at").cache()
-    year = F.when(F.col("created_at") < "1997-01-01", 0).otherwise(1)
-    days = jobs.stream_daily(as_stream(reg, str(tmp_path / "reg"), year, 2), f.ev)
-    jobs.log_updates(days, str(tmp_path / "days")).awaitTermination()
-    want = jobs.stream_daily(reg, f.ev)
-    assert same(newest(jobs.updates(spark, str(tmp_path / "days")), ["organizer_id", "date"]).select(*want.columns), want)
+    anyhow = F.pmod(F.xxhash64("event_id", "created_at"), F.lit(4))
+    jobs.stream_daily(as_stream(reg, str(tmp_path / "reg"), anyhow, 4), f.ev, str(tmp_path / "days"), every=2).awaitTermination()
+    got, want = jobs.daily_so_far(spark, str(tmp_path / "days"), reg.schema, f.ev), jobs.daily_totals(reg, f.ev)
+    assert same(got.drop("late"), want)
+    newest, late = None, 0
+    for n in range(4):  # late: more than a day before the newest of the batches before
+        rows = [r.created_at for r in reg.filter(anyhow == n).select("created_at").collect()]
+        late += sum(newest is not None and t < newest - dt.timedelta(days=1) for t in rows)
+        newest = max([t for t in (newest, *rows) if t is not None])
+    assert got.agg(F.sum("late")).first()[0] == late > 0
+
+
+def test_one_late_row_is_counted(spark, tmp_path):
+    days = [dt.datetime(2000, 1, d) for d in (1, 3, 5)] + [dt.datetime(2000, 1, 1, 12)]
+    reg = spark.createDataFrame([(1, "PENDING", 0, t, i) for i, t in enumerate(days)], "event_id int, status string, amount_paid int, created_at timestamp_ntz, n int")
+    reg = reg.withColumn("amount_paid", F.col("amount_paid").cast("decimal(12,2)"))
+    ev = spark.createDataFrame([(1, 7)], "id int, organizer_id int")
+    jobs.stream_daily(as_stream(reg, str(tmp_path / "in"), F.col("n"), 4), ev, str(tmp_path / "out")).awaitTermination()
+    got = {r.date.day: (r.registrations, r.late) for r in jobs.daily_so_far(spark, str(tmp_path / "out"), reg.schema, ev).collect()}
+    assert got == {1: (2, 1), 3: (1, 0), 5: (1, 0)}
+
+
+def test_a_scan_batch_reads_its_own_tickets(spark, sf_dir):
+    f = load(spark, sf_dir)
+    some = f.scans.limit(5)
+    codes = some.select(F.upper(F.trim("ticket_code")).alias("ticket_code"))
+    cut = jobs.asked(f.registrations, codes, ["ticket_code"], 5)
+    assert cut.count() <= 5
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_sums_are_combined_when_a_base_is_written(spark, tmp_path):
+    schema = StructType([StructField("k", IntegerType()), StructField("n", IntegerType())])
+    total = lambda df: df.groupBy("k").agg(F.sum("n").cast("int").alias("n"))
+    state = BatchState(spark, str(tmp_path / "s"), schema, every=2, combine=total)
+    for n in range(7):
+        assert state.open(n).count() <= 2  # the sum of the past, and one batch
+        state.write(spark.createDataFrame([(1, 1)], schema), n)
+    assert state.latest().collect() == [(1, 7)]
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("base=")]) <= 2
 
 
 def test_state_is_the_same_when_a_batch_runs_again(spark, tmp_path):

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 PAID_STATUSES = ("CONFIRMED", "MANUAL")
 LIVE_STATUSES = ("CONFIRMED", "MANUAL", "PENDING")
 
-# E-mail shape, ticket-code and payment-id prefixes, default platform fee (percent).
-EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+# White space, e-mail shape, ticket-code and payment-id prefixes, default platform fee (percent).
+SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+EMAIL_PATTERN = rf"\A[^{SPACE}@]+@[^{SPACE}@]+\.[^{SPACE}@]+\z"
 TICKET_CODE_PREFIX = "EVX-"
 PAYMENT_ID_PREFIX = "EVX-PAY-"
 DEFAULT_FEE_PCT = 5
@@ -76,7 +77,23 @@ def any_of(conditions) -> Column:
 
 def trimmed(col: Column) -> Column:
     """Strip any leading or trailing white space, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    return F.regexp_replace(col, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+# What a form field may hold as a number; an empty field counts as 0, as typed numbers do.
+_DECIMAL = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+
+
+def typed_number(col: Column) -> Column:
+    """The number a form field holds: decimal, hexadecimal, infinite or empty (0). NULL if it is none."""
+    text = trimmed(col.cast("string"))
+    hexadecimal = F.conv(F.substring(text, 3, 100), 16, 10).cast("double")
+    return (
+        F.when(text == "", F.lit(0.0))
+        .when(text.rlike(_DECIMAL), text.try_cast("double"))
+        .when(text.rlike(r"\A0[xX][0-9a-fA-F]{1,15}\z"), hexadecimal)
+        .when(text.rlike(r"\A[+-]?Infinity\z"), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")))
+    )
 
 
 def blank(col: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from turnstile.session import cut_lineage
 
-HOT_ROWS = 1_000_000
+#: Rows of a slice.
+SLICE_ROWS = 200_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "position") -> DataFrame:
@@ -39,13 +40,13 @@ def page_of(df: DataFrame, order: list[Column], page: int | None, limit: int) ->
 
 
 def sliced(df: DataFrame, order: list[str], rows_per_slice: int, rows: int, name: str = "_slice") -> DataFrame:
-    """Fix an order-preserving slice number on every row.
+    """Fix an order-preserving slice number on every row; a slice is a partition, in order.
 
     Range partitioning on the whole order splits a hot key over many slices. The slice number is
     the partition number, so the result is checkpointed: later reads must see the same numbers.
     """
-    n = max(1, math.ceil(rows / rows_per_slice))
-    spread = df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id())
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_slice))
+    spread = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.spark_partition_id())
     return cut_lineage(spread)
 
 
@@ -71,20 +72,9 @@ def slice_counts(
     )
 
 
-def running_rank(
-    df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Exact ``row_number`` over (keys, order). ``order`` must be total within a key.
-
-    Keys with at most ``hot_rows`` rows take a plain window; larger ones are ranked in slices.
-    """
-    plain = Window.partitionBy(*keys).orderBy(*order)
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    n_hot = hot.agg(F.sum("count")).first()[0]
-    if not n_hot:
-        return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
-    hot_keys = hot.select(*keys)
-    cold = df.join(hot_keys, keys, "left_anti").withColumn(name, F.row_number().over(plain).cast("bigint"))
-    split = sliced(df.join(hot_keys, keys, "left_semi"), [*keys, *order], hot_rows, n_hot)
+def running_rank(df: DataFrame, keys: list[str], order: list[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Exact ``row_number`` over (keys, order), counted in slices of about ``slice_rows`` rows, so no task
+    ranks more than a slice of any key. ``order`` must be total within a key."""
+    split = sliced(df, [*keys, *order], slice_rows, df.count())
     ranked = slice_counts(split, keys, order, {name: F.lit(1)}).drop("_slice")
-    return cold.unionByName(ranked.withColumn(name, F.col(name) + 1))
+    return ranked.withColumn(name, F.col(name) + 1)

@@ -91,17 +91,23 @@ def notice_state(hooks: DataFrame) -> DataFrame:
     notice = F.struct("received_at", "attempt", "cpm_result", *details)
     return hooks.groupBy("transaction_id").agg(
         F.min(F.when(success, notice)).alias("success"),
-        F.max(F.when(F.col("cpm_result") != "00", notice)).alias("failure"),
+        # A notice without a result code is a failure.
+        F.max(F.when(~F.col("cpm_result").eqNullSafe("00"), notice)).alias("failure"),
     )
 
 
-def of_site(hooks: DataFrame, site_id: str | None) -> DataFrame:
-    return hooks if site_id is None else hooks.filter(F.col("cpm_site_id") == site_id)
+#: Names the choice to take notices of every site.
+ANY_SITE = object()
+
+
+def of_site(hooks: DataFrame, site_id) -> DataFrame:
+    """Notices of the given site; with ANY_SITE the site is not checked."""
+    return hooks if site_id is ANY_SITE else hooks.filter(F.col("cpm_site_id") == site_id)
 
 
 def of_open_transactions(rows: DataFrame, tx: DataFrame) -> DataFrame:
     """Notices, or their state, of known transactions that were not settled before."""
-    open_tx = tx.filter(F.col("status") != "SUCCESS").select("transaction_id")
+    open_tx = tx.filter(~F.col("status").eqNullSafe("SUCCESS")).select("transaction_id")
     return rows.join(open_tx, "transaction_id", "left_semi")
 
 
@@ -125,7 +131,7 @@ def settle_transactions(tx: DataFrame, state: DataFrame) -> DataFrame:
         "webhook_received_at": F.coalesce(at, "webhook_received_at"),
         "updated_at": F.coalesce(at, "updated_at"),
     }
-    settled = F.col("status") == "SUCCESS"
+    settled = F.col("status").eqNullSafe("SUCCESS")
     joined = tx.join(state, "transaction_id", "left")
     return joined.select(
         *[
@@ -138,10 +144,11 @@ def settle_transactions(tx: DataFrame, state: DataFrame) -> DataFrame:
 def registration_effects(state: DataFrame, tx: DataFrame, pct=X.DEFAULT_FEE_PCT) -> DataFrame:
     """What the notices of all its transactions do to a registration.
 
-    A transaction counts with its success or else its last failure; the latest of these over the
+    A transaction that was not settled before counts with its success or else its last failure; the latest of these over the
     registration's transactions sets the status, the latest success sets payment data.
     """
-    linked = state.join(tx.select("transaction_id", "registration_id", "amount"), "transaction_id")
+    open_tx = tx.filter(~F.col("status").eqNullSafe("SUCCESS"))
+    linked = state.join(open_tx.select("transaction_id", "registration_id", "amount"), "transaction_id")
     order = F.struct("notice.received_at", "notice.attempt", "transaction_id")
     outcome = F.when(F.col("success").isNotNull(), "CONFIRMED").otherwise("PENDING")
     rows = linked.withColumn("notice", F.coalesce("success", "failure")).filter(F.col("notice").isNotNull())
@@ -178,11 +185,11 @@ def apply_effects(reg: DataFrame, effects: DataFrame) -> DataFrame:
 
 
 def reconcile_webhooks(
-    hooks: DataFrame, tx: DataFrame, reg: DataFrame, pct=X.DEFAULT_FEE_PCT, site_id: str | None = None
+    hooks: DataFrame, tx: DataFrame, reg: DataFrame, site_id, pct=X.DEFAULT_FEE_PCT
 ) -> tuple[DataFrame, DataFrame]:
-    """Transactions and registrations after a feed of provider notices. Notices are summed up per
-    transaction first, so repeats without end never reach a join."""
-    state = of_open_transactions(notice_state(of_site(hooks, site_id)), tx)
+    """Transactions and registrations after a feed of provider notices of one site (or ANY_SITE). Notices
+    are summed up per transaction first, so repeats without end never reach a join."""
+    state = notice_state(of_site(hooks, site_id))
     return settle_transactions(tx, state), apply_effects(reg, registration_effects(state, tx, pct))
 
 

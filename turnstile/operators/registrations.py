@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
-from turnstile.functions.ranking import HOT_ROWS, page_per_key, running_rank
+from turnstile.functions.ranking import SLICE_ROWS, page_per_key, running_rank
 
 
 def _types(tt: DataFrame, *extra: str) -> DataFrame:
@@ -184,10 +184,10 @@ def event_location_label(ev: DataFrame) -> DataFrame:
 # --- admission checks that need no fold -------------------------------------------------------
 
 
-def oversold_requests(requests: DataFrame, tt: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def oversold_requests(requests: DataFrame, tt: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rank of every request within its ticket type and whether it lies beyond the stock."""
     stock = tt.select(F.col("id").alias("ticket_type_id"), X.remaining(F.col("quantity"), F.col("sold")).alias("remaining"))
-    ranked = running_rank(requests, ["ticket_type_id"], ["requested_at", "request_id"], "position", hot_rows)
+    ranked = running_rank(requests, ["ticket_type_id"], ["requested_at", "request_id"], "position", slice_rows)
     over = F.coalesce(F.col("position") > F.col("remaining"), F.lit(False))
     return ranked.join(stock, "ticket_type_id").select(
         "request_id", "event_id", "ticket_type_id", "requested_at", "position", "remaining", over.alias("oversold")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
-from turnstile.functions.ranking import HOT_ROWS, running_rank
+from turnstile.functions.ranking import SLICE_ROWS, running_rank
 
 
 def ticket_availability(tt: DataFrame) -> DataFrame:
@@ -28,12 +28,10 @@ def on_sale_tickets(tt: DataFrame, as_of) -> DataFrame:
     )
 
 
-def assign_sort_order(
-    tt: DataFrame, new_rows: DataFrame, order: list[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def assign_sort_order(tt: DataFrame, new_rows: DataFrame, order: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Number new ticket types after the last one of their event, in ``order``."""
     last = tt.groupBy("event_id").agg(F.max("sort_order").alias("_last"))
-    ranked = running_rank(new_rows, ["event_id"], order, "_rank", hot_rows)
+    ranked = running_rank(new_rows, ["event_id"], order, "_rank", slice_rows)
     next_order = F.coalesce("_last", F.lit(-1)) + F.col("_rank")
     return ranked.join(last, "event_id", "left").select(*new_rows.columns, next_order.cast("int").alias("sort_order"))
 

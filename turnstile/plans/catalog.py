@@ -30,6 +30,8 @@ AS_OF = "2000-01-01 00:00:00"
 MID_MONTH = "1999-12-20 00:00:00"
 # Just after midnight: order times are whole days.
 PAY_TIME = "1999-12-31 00:10:00"
+# Notices of other sites are not ours.
+SITE = "SITE-1"
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 
@@ -384,6 +386,12 @@ def admit_registrations_public(f):
     return admission.admit_registrations(f.requests, f.ev, tt, promo, mode="public")
 
 
+@query
+def admit_registrations_running(f):
+    """Requests for events that have sold tickets already: the registrations are there, counters run on."""
+    return admission.admit_registrations(f.requests, f.ev, f.ticket_types, f.promo_codes, f.registrations, "public")
+
+
 @query
 def oversold_requests(f):
     tt, _ = start_state(f)
@@ -534,15 +542,19 @@ def replay_start(f):
 @query
 def reconcile_webhooks(f):
     tx, reg = replay_start(f)
-    _, out = payments.reconcile_webhooks(f.webhooks, tx, reg)
+    _, out = payments.reconcile_webhooks(f.webhooks, tx, reg, SITE)
     return out.select("id", "event_id", "status", "payment_method", "paid_at", "platform_fee", "net_amount")
 
 
 @query
 def reconcile_webhooks_transactions(f):
     tx, reg = replay_start(f)
-    out, _ = payments.reconcile_webhooks(f.webhooks, tx, reg)
-    return out.select("transaction_id", "registration_id", "status", "payment_method", "webhook_received_at")
+    out, _ = payments.reconcile_webhooks(f.webhooks, tx, reg, SITE)
+    key = lambda name: F.get_json_object("metadata", f"$.{name}")
+    return out.select(
+        "transaction_id", "registration_id", "status", "payment_method", "webhook_received_at", key("platform_fee").alias("fee_kept"),
+        key("ticket_name").alias("name_kept"), key("verified_amount").cast(X.MONEY).alias("verified_amount"), key("payment_date").alias("payment_date"),
+    )
 
 
 @query

@@ -1,4 +1,5 @@
-"""The streaming jobs as registered queries: the tables are read as streams and drained."""
+"""The streaming jobs as registered queries: each table is replayed as a stream of micro-batches, some
+of its rows late, and drained."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.operators import payments
-from turnstile.plans.catalog import query, replay_start, start_state, unchecked
+from turnstile.plans.catalog import SITE, query, replay_start, start_state, unchecked
 from turnstile.session import scratch_path
 from turnstile.sources.fixtures import Fixtures
 from turnstile.streaming import jobs
@@ -15,26 +16,34 @@ from turnstile.streaming.tables import newest
 # The log is sparse: a few requests per client and day.
 SPARSE_LIMITS = {"global": (24 * 60, 5), "auth": (12 * 60, 1), "registration": (6 * 60, 1)}
 
+# Table -> the micro-batch a row arrives in: by time, and some rows after all others.
+SLOTS = {
+    "scans": "CASE WHEN event_id % 7 = 3 THEN 2 WHEN scan_ts < TIMESTAMP '1996-01-01 00:00:00' THEN 0 WHEN scan_ts < TIMESTAMP '1998-06-01 00:00:00' THEN 1 ELSE 2 END",
+    "webhooks": "CASE WHEN attempt = 2 THEN 0 WHEN received_at < TIMESTAMP '1996-01-01 00:00:00' THEN 2 ELSE 1 END",
+    "requests": "CASE WHEN ticket_type_id % 10 = 1 AND event_id % 5 = 2 THEN 2 WHEN requested_at < TIMESTAMP '2000-01-01 00:00:00' THEN 0 "
+    "WHEN requested_at < TIMESTAMP '2000-09-01 00:00:00' THEN 1 ELSE 2 END",
+    "request_log": "CASE WHEN request_id % 8 = 5 THEN 2 WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 0 WHEN ts < TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 2 END",
+    "registrations": "CASE WHEN event_id % 9 = 4 THEN 2 WHEN created_at < TIMESTAMP '1996-01-01 00:00:00' THEN 0 WHEN created_at < TIMESTAMP '1998-01-01 00:00:00' THEN 1 ELSE 2 END",
+}
+#: Files of a micro-batch.
+FILES = 4
 
-class StreamFixtures(Fixtures):
-    """The same tables with the fact files read as streams."""
 
-    STREAMED = ("lineitem", "events")
+def replay(df: DataFrame, slot: str, path: str, slots: int = 3) -> DataFrame:
+    """df as a stream of ``slots`` micro-batches: every slot is written as FILES files, one slot after the other."""
+    rows = df.withColumn("_slot", F.expr(slot))
+    for n in range(slots):
+        rows.filter(F.col("_slot") == n).drop("_slot").repartition(FILES).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
-    def base(self, name: str) -> DataFrame:
-        if name not in self.STREAMED:
-            return super().base(name)
-        schema = super().base(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
 
-
-def _live(f: Fixtures) -> StreamFixtures:
-    return StreamFixtures(f.spark, f.sf_dir)
+def _live(f: Fixtures, name: str) -> DataFrame:
+    return replay(getattr(f, name), SLOTS[name], scratch_path(f.spark, f"arriving-{name}"))
 
 
 def _scan_answers(f: Fixtures) -> str:
     path = scratch_path(f.spark, "scans")
-    jobs.stream_scans(_live(f).scans, unchecked(f), f.ticket_types, f.ev, path).awaitTermination()
+    jobs.stream_scans(_live(f, "scans"), unchecked(f), f.ticket_types, f.ev, path).awaitTermination()
     return path
 
 
@@ -42,7 +51,7 @@ def _scan_answers(f: Fixtures) -> str:
 def stream_scans(f):
     path = _scan_answers(f)
     return f.spark.read.parquet(f"{path}/answers").select(
-        "ticket_code", "event_id", "scan_ts", "attempt", "result", "registration_id"
+        "ticket_code", "event_id", "scan_ts", "attempt", "result", "registration_id", "late"
     )
 
 
@@ -50,7 +59,7 @@ def stream_scans(f):
 def stream_checkin_stats(f):
     path = _scan_answers(f)
     answers = f.spark.read.parquet(f"{path}/answers")
-    stream = f.spark.readStream.schema(answers.schema).parquet(f"{path}/answers")
+    stream = f.spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/answers")
     entries = stream.filter(F.col("result") == "VALID")
     jobs.log_updates(jobs.stream_checkin_stats(entries, by_ticket_type=True), f"{path}/stats").awaitTermination()
     return newest(jobs.updates(f.spark, f"{path}/stats"), ["event_id", "ticket_type_id"])
@@ -60,9 +69,8 @@ def stream_checkin_stats(f):
 def stream_webhooks(f):
     tx, reg = replay_start(f)
     path = scratch_path(f.spark, "webhooks")
-    live = _live(f)
-    jobs.stream_webhooks(live.webhooks, tx, path).awaitTermination()
-    state = jobs.webhook_state(jobs.updates(f.spark, path))
+    jobs.stream_webhooks(_live(f, "webhooks"), path, SITE).awaitTermination()
+    state = jobs.webhook_state(f.spark, path, f.webhooks.schema)
     out = payments.apply_effects(reg, payments.registration_effects(state, tx))
     return out.select("id", "event_id", "status", "payment_method", "paid_at", "platform_fee", "net_amount")
 
@@ -71,8 +79,8 @@ def stream_webhooks(f):
 def stream_admissions(f):
     tt, promo = start_state(f)
     path = scratch_path(f.spark, "admissions")
-    jobs.stream_admissions(_live(f).requests, f.ev, tt, promo, path).awaitTermination()
-    return f.spark.read.parquet(f"{path}/outcomes").drop("batch", "late")
+    jobs.stream_admissions(_live(f, "requests"), f.ev, tt, promo, path).awaitTermination()
+    return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
 
 
 @query
@@ -80,50 +88,70 @@ def rate_violations(f):
     return jobs.rate_violations(f.request_log, SPARSE_LIMITS)
 
 
+@query
+def rate_violations_standard(f):
+    """The limits of the service: the busiest minutes of the log's clients, all taken for one day."""
+    hour = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    crowded = F.timestamp_seconds(F.unix_seconds(hour.cast("timestamp")) + F.pmod(F.col("request_id"), F.lit(900)))
+    packed = f.request_log.select("limiter", F.pmod("client", F.lit(10)).alias("client"), crowded.cast("timestamp_ntz").alias("ts"))
+    return jobs.rate_violations(packed)
+
+
 @query
 def stream_rate_violations(f):
     path = scratch_path(f.spark, "rates")
-    jobs.log_updates(jobs.rate_violations(_live(f).request_log, SPARSE_LIMITS), path).awaitTermination()
-    keys = ["client", "limiter", "window_start", "window_minutes", "allowed"]
-    return newest(jobs.updates(f.spark, path), keys)
+    jobs.stream_rates(_live(f, "request_log"), path, SPARSE_LIMITS).awaitTermination()
+    return jobs.rates_so_far(f.spark, path, f.request_log.schema, SPARSE_LIMITS)
 
 
 @query
 def stream_daily(f):
     path = scratch_path(f.spark, "daily")
-    jobs.log_updates(jobs.stream_daily(_live(f).registrations, f.ev), path).awaitTermination()
-    return newest(jobs.updates(f.spark, path), ["organizer_id", "date"])
+    jobs.stream_daily(_live(f, "registrations"), f.ev, path).awaitTermination()
+    return jobs.daily_so_far(f.spark, path, f.registrations.schema, f.ev)
+
+
+def _arrived(table: str, time: str, delay: str) -> str:
+    """The table's rows with their slot and whether they are late."""
+    return f"""(SELECT t.*, coalesce(t.{time} < (SELECT max(o.{time}) FROM (SELECT *, {SLOTS[table]} AS slot FROM {table}) o WHERE o.slot < t.slot) - INTERVAL {delay}, FALSE) AS late
+  FROM (SELECT *, {SLOTS[table]} AS slot FROM {table}) t)"""
 
 
-def _rate_sql() -> str:
+def _rate_sql(limits: dict[str, tuple[int, int]], log: str, late: bool = False) -> str:
     parts = [
         f"""
 SELECT client, '{limiter}' AS limiter, time_bucket(INTERVAL '{minutes} minutes', ts, TIMESTAMP '1970-01-01') AS window_start,
-  {minutes} AS window_minutes, {allowed} AS allowed, count(*) AS requests
-FROM request_log WHERE {"TRUE" if limiter == "global" else f"limiter = '{limiter}'"} GROUP BY ALL HAVING count(*) > {allowed}"""
-        for limiter, (minutes, allowed) in SPARSE_LIMITS.items()
+  {minutes} AS window_minutes, {allowed} AS allowed, count(*) AS requests {", count(*) FILTER (late) AS late" if late else ""}
+FROM {log} l WHERE {"TRUE" if limiter == "global" else f"limiter = '{limiter}'"} GROUP BY 1, 2, 3 HAVING count(*) > {allowed}"""
+        for limiter, (minutes, allowed) in limits.items()
     ]
     return "\nUNION ALL ".join(parts)
 
 
 def _sql() -> dict[str, str]:
     from turnstile.plans.oracle import SQL as BATCH
+    from turnstile.plans.oracle import admission_sql
 
-    answers = BATCH["classify_scans"]
+    # An earlier batch is answered first, whatever the time of its scans.
+    answers = BATCH["classify_scans"].replace("ORDER BY s.scan_ts, s.attempt", "ORDER BY s.slot, s.scan_ts, s.attempt")
+    answers = answers.replace("FROM scans s", f"FROM {_arrived('scans', 'scan_ts', '1 HOUR')} s").replace("r.id AS registration_id", "r.id AS registration_id, s.late")
+    packed = "(SELECT limiter, client % 10 AS client, date_trunc('day', ts) + to_seconds(request_id % 900) AS ts FROM request_log)"
     return {
-        "stream_scans": f"SELECT ticket_code, event_id, scan_ts, attempt, result, registration_id FROM ({answers}) a",
+        "stream_scans": f"SELECT ticket_code, event_id, scan_ts, attempt, result, registration_id, late FROM ({answers}) a",
         "stream_checkin_stats": f"""
 SELECT a.event_id, r.ticket_type_id, count(*) AS checked_in, max(a.scan_ts) AS last_entry
 FROM ({answers}) a JOIN registrations r ON r.id = a.registration_id WHERE a.result = 'VALID' GROUP BY 1, 2""",
         "stream_webhooks": BATCH["reconcile_webhooks"],
-        "stream_admissions": BATCH["admit_registrations_public"],
-        "rate_violations": _rate_sql(),
-        "stream_rate_violations": _rate_sql(),
-        "stream_daily": """
+        "stream_admissions": admission_sql(public=True, arrived=_arrived("requests", "requested_at", "1 HOUR")),
+        "rate_violations": _rate_sql(SPARSE_LIMITS, "request_log"),
+        "rate_violations_standard": _rate_sql(jobs.LIMITS, packed),
+        "stream_rate_violations": _rate_sql(SPARSE_LIMITS, _arrived("request_log", "ts", "10 MINUTES"), late=True),
+        "stream_daily": f"""
 SELECT e.organizer_id, cast(r.created_at AS date) AS date, count(*) AS registrations,
   count(*) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')) AS confirmed,
-  cast(coalesce(sum(r.amount_paid) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')), 0) AS decimal(22,2)) AS revenue
-FROM registrations r JOIN ev e ON e.id = r.event_id GROUP BY 1, 2""",
+  cast(coalesce(sum(r.amount_paid) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')), 0) AS decimal(22,2)) AS revenue,
+  count(*) FILTER (WHERE r.late) AS late
+FROM {_arrived("registrations", "created_at", "1 DAY")} r JOIN ev e ON e.id = r.event_id GROUP BY 1, 2""",
     }
 
 

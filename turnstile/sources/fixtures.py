@@ -298,23 +298,32 @@ class Fixtures:
 
     @cached_property
     def webhooks(self) -> DataFrame:
-        """One notice per settled transaction, and a late failure for some successes."""
+        """One notice per settled transaction, and a late failure, partly without a result code, for some
+        successes. Notices of odd tiers of every eleventh event come from another site."""
         status = F.col("status")
         first = F.struct(
             F.when(status.isin("SUCCESS", "REFUNDED"), "00").when(status == "CANCELLED", "01").otherwise("02").alias("r"),
             (status != "REFUNDED").alias("v"),
             F.lit(1).alias("attempt"),
         )
-        late = F.struct(F.lit("02").alias("r"), F.lit(False).alias("v"), F.lit(2).alias("attempt"))
+        late = F.struct(F.when(F.col("event_id") % 2 == 0, "02").alias("r"), F.lit(False).alias("v"), F.lit(2).alias("attempt"))
         made = F.array_compact(
             F.array(F.when(status != "PENDING", first), F.when((status == "SUCCESS") & (F.col("event_id") % 3 == 0), late))
         )
-        return self.transactions.select("transaction_id", "created_at", F.explode(made).alias("n")).select(
+        tx = self.transactions.withColumn("_tier", F.expr("cast(split_part(registration_id, '-', 2) AS int)"))
+        foreign = (F.col("event_id") % 11 == 0) & (F.col("_tier") % 2 == 1)
+        accepted = F.col("n.v")
+        notices = tx.select("*", F.explode(made).alias("n"))
+        return notices.select(
             "transaction_id",
+            F.when(foreign, "SITE-2").otherwise("SITE-1").alias("cpm_site_id"),
             F.col("n.r").alias("cpm_result"),
             F.col("n.v").alias("verified_accepted"),
             F.col("created_at").alias("received_at"),
             "n.attempt",
+            F.when(accepted & (F.col("_tier") % 3 == 0), "WAVE").when(accepted & (F.col("_tier") % 3 == 1), "").alias("payment_method"),
+            F.when(accepted, F.col("amount")).alias("verified_amount"),
+            F.when(accepted, F.date_format("created_at", "yyyy-MM-dd")).alias("payment_date"),
         )
 
     def as_request_log(self, events: DataFrame) -> DataFrame:
@@ -341,6 +350,7 @@ class Fixtures:
             "last_name",
             F.upper("email").alias("email"),
             F.concat(F.lit("PROMO"), (F.col("promo_code_id") % 100).cast("string")).alias("promo_code"),
+            F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("+237 "), F.col("event_id").cast("string"))).alias("phone"),
             F.date_add(
                 F.lit("1999-05-01").cast("date"), (F.col("event_id") * 7 % 730 + F.col("l_quantity") - 5).cast("int")
             )

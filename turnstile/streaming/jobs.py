@@ -1,7 +1,9 @@
 """Structured Streaming jobs: scans, notices, admissions, rates, daily totals.
 
 The keyed decisions (who was first, who still gets in) reuse the batch operators per micro-batch,
-with the outcome so far as an input table; plain counts are streaming aggregates.
+with the outcome so far as an input table, cut to what the batch asks about. Sums are written per
+batch and added up when they are read: no row is ever too late to count, and late ones are counted
+as such.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructField, StructType, TimestampNTZType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from turnstile.functions import exprs as X
 from turnstile.operators import admission, checkin, payments
@@ -61,9 +63,51 @@ def mark_late(batch: DataFrame, clock: DataFrame, time_col: str, delay: str) ->
     return batch.withColumn("late", F.coalesce(F.col(time_col) < limit, F.lit(False)))
 
 
-def with_watermark(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
-    """Watermarks need an instant; the session zone is UTC, so the clock time stays the same."""
-    return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
+#: Rows of one or two columns that a batch may hold to be broadcast.
+BATCH_ROWS = 100_000
+
+
+def asked(table: DataFrame, keys: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """The rows of a table that a batch of ``rows`` rows asks about. A batch of ordinary size is sent to
+    the table, so that the table is not moved; a larger one is joined as any other."""
+    keys = keys.select(*on).distinct()
+    return table.join(F.broadcast(keys) if rows <= BATCH_ROWS else keys, on, "left_semi")
+
+
+def _sums(df: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums per key, in the type they have."""
+    kinds = dict(df.dtypes)
+    return df.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums])
+
+
+def stream_sums(
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], keys: list[str], time_col: str, path: str, delay: str, every: int, **trigger
+) -> StreamingQuery:
+    """Add up ``partial`` of every micro-batch under ``path``, and the ``late`` rows per key. Sums of
+    earlier batches are written together every ``every`` batches."""
+    spark = stream.sparkSession
+    state = sums_state(spark, path, stream.schema, partial, keys, every)
+    clock = BatchState(spark, f"{path}/clock", _CLOCK, every, _newest)
+
+    def handle(batch: DataFrame, n: int) -> None:
+        state.open(n)
+        marked = mark_late(batch, clock.open(n), time_col, delay)
+        state.write(partial(marked), n)
+        clock.write(batch.agg(F.max(time_col).cast("timestamp_ntz").alias("newest")), n)
+
+    return each_batch(stream, kept(handle), f"{path}/checkpoint", **trigger)
+
+
+def sums_state(spark, path: str, schema: StructType, partial, keys: list[str], every: int = 50) -> BatchState:
+    """The state of stream_sums()."""
+    empty = spark.createDataFrame([], StructType([*schema.fields, StructField("late", BooleanType())]))
+    shape = partial(empty).schema
+    sums = [c for c in shape.names if c not in keys]
+    return BatchState(spark, f"{path}/sums", shape, every, lambda df: _sums(df, keys, sums))
+
+
+def _newest(clock: DataFrame) -> DataFrame:
+    return clock.agg(F.max("newest").alias("newest"))
 
 
 # --- check-in --------------------------------------------------------------------------------------
@@ -83,11 +127,15 @@ def stream_scans(
     schema = StructType.fromDDL(_VALID.format(id=kinds["id"], event=kinds["event_id"], type=kinds["ticket_type_id"]))
     answers = BatchLog(spark, f"{path}/answers")
     entered = BatchState(spark, f"{path}/entries", schema)
-    clock = BatchState(spark, f"{path}/clock", _CLOCK)
+    clock = BatchState(spark, f"{path}/clock", _CLOCK, combine=_newest)
 
     def handle(batch: DataFrame, n: int) -> None:
-        inside = entered.open(n).select(F.col("registration_id").alias("id"), F.lit(True).alias("_inside"))
-        now = reg.join(inside, "id", "left").withColumn("checked_in", F.col("checked_in") | F.col("_inside").isNotNull())
+        rows = batch.count()
+        codes = batch.select(X.normal_code(F.col("ticket_code")).alias("ticket_code"))
+        tickets = asked(reg, codes, ["ticket_code"], rows)
+        inside = asked(entered.open(n).withColumnRenamed("registration_id", "id"), tickets, ["id"], rows)
+        inside = inside.select("id", F.lit(True).alias("_inside"))
+        now = tickets.join(inside, "id", "left").withColumn("checked_in", F.col("checked_in") | F.col("_inside").isNotNull())
         answered = checkin.classify_scans(batch, now.drop("_inside"), tt, ev)
         stored = answers.write(mark_late(answered, clock.open(n), "scan_ts", delay), n)
         entered.write(stored.filter(F.col("result") == "VALID"), n)
@@ -105,25 +153,39 @@ def stream_checkin_stats(valid_scans: DataFrame, by_ticket_type: bool = False) -
 # --- payments --------------------------------------------------------------------------------------
 
 
-def stream_webhooks(
-    hooks: DataFrame, tx: DataFrame, path: str, site_id: str | None = None, **trigger
-) -> StreamingQuery:
-    """Keep, per transaction, its first verified success and last failure as a streaming aggregate
-    and log every change."""
-    known = payments.of_open_transactions(payments.of_site(hooks, site_id), tx)
-    state = payments.notice_state(known)
-    return log_updates(state, path, **trigger)
+def stream_webhooks(hooks: DataFrame, path: str, site_id, every: int = 50, **trigger) -> StreamingQuery:
+    """Keep, per transaction, its first verified success and last failure. A micro-batch writes those of
+    its own notices; they are combined when read (``webhook_state``) and every ``every`` batches."""
+    state = _webhooks(hooks.sparkSession, path, hooks.schema, every)
+
+    def handle(batch: DataFrame, n: int) -> None:
+        state.open(n)
+        state.write(payments.notice_state(payments.of_site(batch, site_id)), n)
+
+    return each_batch(hooks, handle, f"{path}/checkpoint", **trigger)
+
+
+def _webhooks(spark, path: str, schema: StructType, every: int = 50) -> BatchState:
+    shape = payments.notice_state(spark.createDataFrame([], schema)).schema
+    return BatchState(spark, f"{path}/state", shape, every, _combined_notices)
+
+
+def _combined_notices(state: DataFrame) -> DataFrame:
+    """A success is only ever replaced by an earlier one, a failure by a later one."""
+    return state.groupBy("transaction_id").agg(F.min("success").alias("success"), F.max("failure").alias("failure"))
 
 
-def webhook_state(log: DataFrame) -> DataFrame:
-    """Current state per transaction: a success is only ever replaced by an earlier one, a failure
-    by a later one."""
-    return log.groupBy("transaction_id").agg(F.min("success").alias("success"), F.max("failure").alias("failure"))
+def webhook_state(spark, path: str, schema: StructType) -> DataFrame:
+    """Current state per transaction, from notices with the given schema."""
+    return _webhooks(spark, path, schema).latest()
 
 
 # --- admission ---------------------------------------------------------------------------------------
 
 
+_COUNTS = StructType([StructField("what", StringType()), StructField("key", StringType()), StructField("n", LongType())])
+
+
 def stream_admissions(
     requests: DataFrame,
     ev: DataFrame,
@@ -133,41 +195,54 @@ def stream_admissions(
     mode: str = "public",
     existing: DataFrame | None = None,
     delay: str = "1 HOUR",
-    fold_rows: int = admission.FOLD_ROWS,
+    every: int = 50,
     **trigger,
 ) -> StreamingQuery:
     """Admit a stream of requests in arrival order of the micro-batches, in request order within
-    one. Outcomes go to ``path/outcomes``, accepted registrations to ``path/admitted``."""
+    one. Outcomes go to ``path/outcomes``.
+
+    Between batches go running counts per ticket type, promo code and event, and the admitted
+    addresses, of which a batch looks up its own.
+    """
     spark = ev.sparkSession
-    kinds = {**dict(requests.dtypes), "promo_id": dict(promo.dtypes)["id"]}
-    schema = StructType.fromDDL(
-        f"id {kinds['request_id']}, event_id {kinds['event_id']}, ticket_type_id {kinds['ticket_type_id']}, "
-        f"promo_code_id {kinds['promo_id']}, email string, status string"
-    )
+    kinds = dict(requests.dtypes)
+    addresses = StructType.fromDDL(f"event_id {kinds['event_id']}, email string")
     outcomes = BatchLog(spark, f"{path}/outcomes")
-    admitted = BatchState(spark, f"{path}/admitted", schema)
-    clock = BatchState(spark, f"{path}/clock", _CLOCK)
-
-    def used(table: DataFrame, before: DataFrame, key: str, counter: str) -> DataFrame:
-        added = before.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("_n"))
-        return table.join(added, "id", "left").withColumn(counter, F.col(counter) + X.zero(F.col("_n"))).drop("_n")
+    counts = BatchState(spark, f"{path}/counts", _COUNTS, every, lambda df: _sums(df, ["what", "key"], ["n"]))
+    admitted = BatchState(spark, f"{path}/admitted", addresses, every)
+    clock = BatchState(spark, f"{path}/clock", _CLOCK, every, _newest)
+    if existing is not None:  # summed once, not per batch
+        live, known = admission.presence(existing)
+        before = live.select(F.lit("event").alias("what"), F.col("event_id").cast("string").alias("key"), F.col("_taken").alias("n"))
+
+    def count(what: str, column: str):
+        key = F.col(column).cast("string")
+        return F.when(key.isNotNull(), F.struct(F.lit(what).alias("what"), key.alias("key")))
+
+    def used(table: DataFrame, now: DataFrame, what: str, counter: str) -> DataFrame:
+        added = now.filter(F.col("what") == what).select(F.col("key").alias("_key"), F.col("n").alias("_n"))
+        joined = table.join(added, F.col("id").cast("string") == F.col("_key"), "left")
+        return joined.withColumn(counter, F.col(counter) + X.zero(F.col("_n"))).drop("_key", "_n")
 
     def handle(batch: DataFrame, n: int) -> None:
-        before = admitted.open(n)
-        present = before.select("event_id", "email", "status")
+        rows = batch.count()
+        now = counts.open(n)
+        if existing is not None:
+            now = now.unionByName(before)
+        now = _sums(now, ["what", "key"], ["n"])
+        pairs = batch.select("event_id", X.trimmed(F.lower("email")).alias("email"))
+        present = asked(admitted.open(n), pairs, ["event_id", "email"], rows)
         if existing is not None:
-            present = present.unionByName(existing.select("event_id", "email", "status"))
+            present = present.unionByName(asked(known, pairs, ["event_id", "email"], rows))
+        taken = now.filter(F.col("what") == "event").select(F.col("key").cast(kinds["event_id"]).alias("event_id"), F.col("n").alias("_taken"))
         decided = admission.admit_registrations(
-            batch,
-            ev,
-            used(tt, before, "ticket_type_id", "sold"),
-            used(promo, before, "promo_code_id", "used_count"),
-            present,
-            mode,
-            fold_rows,
+            batch, ev, used(tt, now, "type", "sold"), used(promo, now, "promo", "used_count"), None, mode, present=(taken, present.distinct())
         )
         stored = outcomes.write(mark_late(decided, clock.open(n), "requested_at", delay), n)
-        admitted.write(admission.accepted_registrations(stored), n)
+        new = admission.accepted_registrations(stored)
+        counted = F.array_compact(F.array(count("type", "ticket_type_id"), count("promo", "promo_code_id"), count("event", "event_id")))
+        counts.write(new.select(F.explode(counted).alias("c")).groupBy("c.what", "c.key").agg(F.count("*").alias("n")), n)
+        admitted.write(new.select("event_id", "email"), n)
         clock.write(stored.agg(F.max("requested_at").alias("newest")), n)
 
     return each_batch(requests, kept(handle), f"{path}/checkpoint", **trigger)
@@ -179,19 +254,11 @@ def stream_admissions(
 LIMITS = {"global": (15, 100), "auth": (15, 10), "registration": (60, 20)}
 
 
-def rate_violations(log: DataFrame, limits: dict[str, tuple[int, int]] | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Clients above a limit, per limiter and window, over a batch or a stream of requests
-    ``(client, limiter, ts)``. Windows are aligned to the epoch.
+_RATE_KEYS = ["client", "limiter", "window_start", "window_minutes", "allowed"]
 
-    All limiters share one aggregation: the longest window carries the watermark, the shorter
-    windows divide it.
-    """
-    limits = limits or LIMITS
-    longest = max(minutes for minutes, _ in limits.values())
-    if any(longest % minutes for minutes, _ in limits.values()):
-        raise ValueError("every window must divide the longest one")
-    if log.isStreaming:
-        log = with_watermark(log, "ts", delay)
+
+def _window_counts(log: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
+    """Requests per client, limiter and window, and the ``late`` ones among them if the log has that column."""
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     entries = []
     for limiter, (minutes, allowed) in limits.items():
@@ -205,29 +272,57 @@ def rate_violations(log: DataFrame, limits: dict[str, tuple[int, int]] | None =
             F.lit(allowed).alias("allowed"),
         )
         entries.append(F.when(counted, entry))
-    hits = log.select("client", "ts", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    counts = hits.groupBy(
-        F.window("ts", f"{longest} minutes"), "client", "e.limiter", "e.window_start", "e.window_minutes", "e.allowed"
-    ).agg(F.count("*").alias("requests"))
-    return counts.filter(F.col("requests") > F.col("allowed")).drop("window")
+    late = [F.col("late")] if "late" in log.columns else []
+    hits = log.select("client", *late, F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    measures = [F.count("*").alias("requests"), *[F.count_if(c).alias("late") for c in late]]
+    return hits.groupBy("client", *[f"e.{k}" for k in _RATE_KEYS[1:]]).agg(*measures)
+
+
+def rate_violations(log: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Clients above a limit, per limiter and window, over requests ``(client, limiter, ts)``. Windows are
+    aligned to the epoch."""
+    return _window_counts(log, limits or LIMITS).filter(F.col("requests") > F.col("allowed"))
+
+
+def stream_rates(
+    log: DataFrame, path: str, limits: dict[str, tuple[int, int]] | None = None, delay: str = "10 minutes", every: int = 50, **trigger
+) -> StreamingQuery:
+    """Count a stream of requests per client, limiter and window; see ``rates_so_far``."""
+    return stream_sums(log, lambda df: _window_counts(df, limits or LIMITS), _RATE_KEYS, "ts", path, delay, every, **trigger)
+
+
+def rates_so_far(spark, path: str, schema: StructType, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """As ``rate_violations`` over all requests so far, with the ``late`` ones counted."""
+    state = sums_state(spark, path, schema, lambda df: _window_counts(df, limits or LIMITS), _RATE_KEYS)
+    return state.latest().filter(F.col("requests") > F.col("allowed"))
 
 
 # --- daily totals ----------------------------------------------------------------------------------------
 
 
-def stream_daily(reg: DataFrame, ev: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Registrations, paid ones and revenue per organizer and day, kept up to date."""
-    if reg.isStreaming:
-        reg = with_watermark(reg, "created_at", delay)
-    owners = ev.select(F.col("id").alias("event_id"), "organizer_id")
+def daily_totals(reg: DataFrame, ev: DataFrame) -> DataFrame:
+    """Registrations, paid ones and revenue per organizer and day, and the ``late`` rows among them if they
+    are marked."""
     paid = X.is_paid(F.col("status"))
-    daily = (
-        reg.join(owners, "event_id")
-        .groupBy(F.window("created_at", "1 day"), "organizer_id")
-        .agg(
-            F.count("*").alias("registrations"),
-            F.count_if(paid).alias("confirmed"),
-            X.sum_if(paid, F.col("amount_paid")).alias("revenue"),
-        )
-    )
-    return daily.select("organizer_id", F.to_date("window.start").alias("date"), "registrations", "confirmed", "revenue")
+    late = {"late": F.count_if(F.col("late"))} if "late" in reg.columns else {}
+    measures = {
+        "registrations": F.count("*"),
+        "confirmed": F.count_if(paid),
+        "revenue": X.sum_if(paid, F.col("amount_paid")),
+        **late,
+    }
+    # Summed per event before owners are joined.
+    per_event = reg.groupBy("event_id", F.to_date("created_at").alias("date")).agg(*[m.alias(c) for c, m in measures.items()])
+    owners = ev.select(F.col("id").alias("event_id"), "organizer_id")
+    daily = per_event.join(owners, "event_id").groupBy("organizer_id", "date")
+    return daily.agg(*[F.sum(c).cast("decimal(22,2)" if c == "revenue" else "bigint").alias(c) for c in measures])
+
+
+def stream_daily(reg: DataFrame, ev: DataFrame, path: str, delay: str = "1 day", every: int = 50, **trigger) -> StreamingQuery:
+    """Keep daily totals of a stream of registrations; see ``daily_so_far``."""
+    return stream_sums(reg, lambda df: daily_totals(df, ev), ["organizer_id", "date"], "created_at", path, delay, every, **trigger)
+
+
+def daily_so_far(spark, path: str, schema: StructType, ev: DataFrame) -> DataFrame:
+    """As ``daily_totals`` over all registrations so far, with the ``late`` ones counted."""
+    return sums_state(spark, path, schema, lambda df: daily_totals(df, ev), ["organizer_id", "date"]).latest()
