@@ -26,15 +26,14 @@ COMMON = 20
 #: Greatest distance by character classes and by words.
 FARTHEST = {"char_distance": 0.3, "word_distance": 0.45}
 LEAST_WORDS, LEAST_REFERENCE = 50, 2_000
-#: Runs of everything but the class.
 CLASSES = {
-    "lower": "[^a-z]+",
-    "upper": "[^A-Z]+",
-    "digit": "[^0-9]+",
-    "space": r"[^\x20\x09-\x0D]+",
-    "stop": "[^.,;:!?'\"()-]+",
-    "symbol": "[^#*$%&|<>]+",
-    "wide": r"[\x00-\x7F]+",
+    "lower": "[a-z]",
+    "upper": "[A-Z]",
+    "digit": "[0-9]",
+    "space": r"[\x20\x09-\x0D]",
+    "stop": "[.,;:!?'\"()-]",
+    "symbol": "[#*$%&|<>]",
+    "wide": r"[^\x00-\x7F]",
 }
 
 
@@ -42,8 +41,9 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit(C.WORD), F.lit(0))
 
 
-def _count(text: str, others: str) -> Column:
-    return F.length(F.regexp_replace(text, others, "")).cast("long")
+def _count(name: str) -> Column:
+    """Characters of the class in _text, of _length characters."""
+    return (F.col("_length") - F.length(F.regexp_replace("_text", CLASSES[name] + "+", ""))).cast("long")
 
 
 def _repeat_words(words: str) -> Column:
@@ -61,11 +61,12 @@ def _repeat_words(words: str) -> Column:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _text, _words (its words) and the base columns."""
+    """docs with _text, _words (its words), _chars (the class counts) and the base columns."""
     d = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", _words("_text"))
     lines = F.expr(r"filter(split(_text, '\n', -1), l -> l RLIKE '[^\\x20\\x09-\\x0D]')")
-    d = d.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", _count("_text", r"[\x20\x09-\x0D]+"))
-    d = d.withColumn("n_symbols", _count("_text", CLASSES["symbol"])).withColumn("_lines", lines)
+    d = d.withColumn("n_words", F.size("_words").cast("long")).withColumn("_length", F.length("_text"))
+    d = d.withColumn("_chars", F.struct(*[_count(name).alias(name) for name in CLASSES])).withColumn("_lines", lines)
+    d = d.withColumn("word_chars", F.col("_length") - F.col("_chars.space")).withColumn("n_symbols", F.col("_chars.symbol"))
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     d = d.withColumn("n_repeat_words", _repeat_words("_words"))
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -75,8 +76,10 @@ def _distance(own: str, other: str) -> Column:
     """Jensen-Shannon distance of two arrays of counts; NULL if one is empty."""
     total = lambda a: f"aggregate({a}, 0D, (x, y) -> x + y)"
     term = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0D END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0D END"
-    body = term.replace("p", f"(x / {total(own)})").replace("q", f"(y / {total(other)})")
-    return F.expr(f"CASE WHEN {total(own)} > 0 AND {total(other)} > 0 THEN sqrt(greatest(0D, {total(f'zip_with({own}, {other}, (x, y) -> {body})')} / 2)) END")
+    # transform over an array of one element names the totals: they are summed up once.
+    share = lambda a: f"get(transform(array({total(a)}), t -> transform({a}, x -> x / t)), 0)"
+    found = total(f"zip_with({share(own)}, {share(other)}, (p, q) -> {term})")
+    return F.expr(f"CASE WHEN {total(own)} > 0 AND {total(other)} > 0 THEN sqrt(greatest(0D, {found} / 2)) END")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -84,12 +87,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.col(text_col).alias("_source_text"))
     counted = d.select("_lang", F.explode(_words(F.coalesce("_source_text", F.lit("")))).alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.col("n").desc(), "w"))
-    common = counted.withColumn("r", rank).where(f"r <= {COMMON}").groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("r", "w")))["w"].alias("_common"))
+    common = counted.withColumn("r", rank).where(f"r <= {COMMON}").groupBy("_lang")
+    common = common.agg(F.sort_array(F.collect_list(F.struct("r", "w")))["w"].alias("_common"), F.max(F.octet_length("w")).alias("_longest"))
     common = C.store(common, "common")  # a row for each language
 
     d = base_counts(d.join(common, "_lang", "left"), "_source_text")
-    chars = F.array(*[_count("_text", others).cast("double") for others in CLASSES.values()])
-    place = "filter(transform(_words, w -> array_position(_common, w)), p -> p > 0)"
+    chars = F.array(*[F.col(f"_chars.{name}").cast("double") for name in CLASSES])
+    # Common words are short: the others are not looked up.
+    place = "filter(transform(filter(_words, w -> octet_length(w) <= _longest), w -> array_position(_common, w)), p -> p > 0)"
     cells = f"transform(sequence(1, {COMMON}), k -> cast(size(filter(_at, p -> p = k)) AS double))"
     words = F.expr(f"get(transform(array(coalesce({place}, array())), _at -> concat(array(cast(n_words - size(_at) AS double)), {cells})), 0)")
     d = d.select("_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", chars.alias("_chars"), words.alias("_hist"))
