@@ -156,13 +156,22 @@ def accept_invitations(
 ) -> tuple[DataFrame, DataFrame]:
     """Members and invitations after a batch of acceptances."""
     joined = acceptance_outcomes(acceptances, inv, org, members).filter(F.col("outcome") == "JOINED")
-    cols = ["event_id", "organizer_id", "role", "invited_by", "joined_at"]
-    new = joined.withColumn("joined_at", F.col("accepted_at")).select(*cols)
+    new = joined.withColumn("joined_at", F.col("accepted_at")).withColumn("created_at", F.col("accepted_at"))
     marks = joined.select(F.col("invitation_id").alias("id"), F.col("accepted_at").alias("_at"))
     marked = inv.join(marks, "id", "left").select(
         *[F.coalesce("accepted_at", "_at").alias(c) if c == "accepted_at" else F.col(c) for c in inv.columns]
     )
-    return members.select(*cols).unionByName(new), marked
+    return _with_new_members(members, new), marked
+
+
+def _with_new_members(members: DataFrame, new: DataFrame) -> DataFrame:
+    """The whole table of members with new rows; a new id follows from the pair."""
+    pair = F.concat_ws("-", F.col("event_id").cast("string"), F.col("organizer_id").cast("string"))
+    kinds = dict(members.dtypes)
+    own = new.withColumn("id", pair.cast(kinds["id"]) if "id" in kinds else pair)
+    given = set(own.columns)
+    cols = [(F.col(c) if c in given else F.lit(None)).cast(kinds[c]).alias(c) for c in members.columns]
+    return members.unionByName(own.select(*cols))
 
 
 def member_change_outcomes(members: DataFrame, changes: DataFrame) -> DataFrame:
@@ -241,7 +250,9 @@ def owned_events(ev: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def backfill_owners(ev: DataFrame, members: DataFrame) -> DataFrame:
-    """Members with every event's owner added as OWNER unless the pair exists."""
-    owners = ev.select(F.col("id").alias("event_id"), "organizer_id", F.lit("OWNER").alias("role"))
+    """The whole table of members with every event's owner added as OWNER, since the event was created,
+    unless the pair exists."""
+    since = F.col("created_at") if "created_at" in ev.columns else F.lit(None).cast("timestamp_ntz")
+    owners = ev.select(F.col("id").alias("event_id"), "organizer_id", F.lit("OWNER").alias("role"), since.alias("joined_at"), since.alias("created_at"))
     missing = owners.join(members.select("event_id", "organizer_id"), ["event_id", "organizer_id"], "left_anti")
-    return members.select("event_id", "organizer_id", "role").unionByName(missing)
+    return _with_new_members(members, missing)

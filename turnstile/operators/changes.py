@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from turnstile import schemas
 from turnstile.functions import exprs as X
 from turnstile.operators.events import publishable_events
+from turnstile.operators.identifiers import assign_slugs
+from turnstile.operators.tickets import assign_sort_order
+from turnstile.session import cut_lineage
 
 
 def prepared_rows(
@@ -109,62 +112,82 @@ def purge(table: DataFrame, outcomes: DataFrame) -> DataFrame:
 def blocked_purges(tables: dict[str, DataFrame], purged: DataFrame) -> DataFrame:
     """Events ``(event_id)`` that cannot go because rows that stay refer to what would go:
     a ledger payment of one of its registrations, a transaction of another event's registration,
-    or another event's registration using its ticket types or promo codes."""
-    reg = tables["registrations"]
-    event_of = reg.select(F.col("id").alias("registration_id"), F.col("event_id").alias("reg_event"))
-    paid = tables["payments"].join(event_of, "registration_id").select(F.col("reg_event").alias("event_id"))
-    foreign_tx = (
-        tables["transactions"]
-        .select("event_id", "registration_id")
-        .join(event_of, "registration_id")
-        .filter(F.col("event_id") != F.col("reg_event"))
-        .select("event_id")
+    or another event's registration using its ticket types or promo codes.
+
+    What belongs to the purged events is cut out first; registrations are read once for all reasons.
+    """
+    purged = purged.select("event_id").distinct()
+
+    def of_purged(table: str, column: str, owner: str) -> DataFrame:
+        mine = tables[table].join(purged, "event_id", "left_semi")
+        return mine.select(F.col("id").alias(column), F.col("event_id").alias(owner))
+
+    going = purged.select("event_id", F.lit(True).alias("_going"))
+    paid = tables["payments"].select("registration_id", F.lit(True).alias("_paid")).distinct()
+    tx = tables["transactions"].join(purged, "event_id", "left_semi").select("registration_id", F.col("event_id").alias("_tx")).distinct()
+    reg = tables["registrations"].select(F.col("id").alias("registration_id"), "event_id", "ticket_type_id", "promo_code_id")
+    rows = (
+        reg.join(going, "event_id", "left")
+        .join(of_purged("ticket_types", "ticket_type_id", "_type"), "ticket_type_id", "left")
+        .join(of_purged("promo_codes", "promo_code_id", "_promo"), "promo_code_id", "left")
+        .join(paid, "registration_id", "left")
+        .join(tx, "registration_id", "left")
     )
 
-    def foreign(table: str, column: str) -> DataFrame:
-        owner = tables[table].select(F.col("id").alias(column), F.col("event_id").alias("owner"))
-        used = reg.filter(F.col(column).isNotNull()).select(column, F.col("event_id").alias("reg_event"))
-        crossing = used.join(owner, column).filter(F.col("owner") != F.col("reg_event"))
-        return crossing.select(F.col("owner").alias("event_id"))
-
-    reasons = {
-        "PAYMENTS": paid,
-        "TRANSACTIONS": foreign_tx,
-        "TICKET_TYPES_IN_USE": foreign("ticket_types", "ticket_type_id"),
-        "PROMO_CODES_IN_USE": foreign("promo_codes", "promo_code_id"),
-    }
-    found = [
-        df.join(purged.select("event_id"), "event_id", "left_semi").select("event_id", F.lit(why).alias("reason")).distinct()
-        for why, df in reasons.items()
-    ]
-    return reduce(DataFrame.unionByName, found)
+    def why(found: Column, event: str, reason: str) -> Column:
+        return F.when(found, F.struct(F.col(event).alias("event_id"), F.lit(reason).alias("reason")))
+
+    def foreign(owner: str) -> Column:
+        return F.col(owner) != F.col("event_id")
+
+    reasons = F.array(
+        why(F.col("_going") & F.col("_paid"), "event_id", "PAYMENTS"),
+        why(foreign("_tx"), "_tx", "TRANSACTIONS"),
+        why(foreign("_type"), "_type", "TICKET_TYPES_IN_USE"),
+        why(foreign("_promo"), "_promo", "PROMO_CODES_IN_USE"),
+    )
+    return rows.select(F.explode(F.array_compact(reasons)).alias("r")).select("r.event_id", "r.reason").distinct()
+
+
+def gone_events(tables: dict[str, DataFrame], purged: DataFrame) -> DataFrame:
+    """The events ``(event_id)`` among ``purged`` that nothing blocks, stored: one narrow column."""
+    blocked = blocked_purges(tables, purged).select("event_id").distinct()
+    return cut_lineage(purged.select("event_id").distinct().join(blocked, "event_id", "left_anti"))
+
+
+#: Tables whose rows go with their event.
+CHILDREN = ("ticket_types", "promo_codes", "registrations", "event_members", "invitations")
+
+
+def _lost_registrations(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    return tables["registrations"].join(gone, "event_id", "left_semi").select(F.col("id").alias("registration_id"))
 
 
 def cascade_delete(tables: dict[str, DataFrame], purged: DataFrame) -> dict[str, DataFrame]:
     """All tables after deleting the events ``(event_id)`` that nothing blocks, children included."""
-    blocked = blocked_purges(tables, purged).select("event_id").distinct()
-    gone = purged.select("event_id").distinct().join(blocked, "event_id", "left_anti")
+    gone = gone_events(tables, purged)
     out = dict(tables)
     out["ev"] = tables["ev"].join(gone.withColumnRenamed("event_id", "id"), "id", "left_anti")
-    for child in ("ticket_types", "promo_codes", "registrations", "event_members", "invitations"):
+    for child in CHILDREN:
         out[child] = tables[child].join(gone, "event_id", "left_anti")
-    lost = tables["registrations"].join(gone, "event_id", "left_semi").select(F.col("id").alias("registration_id"))
-    out["transactions"] = tables["transactions"].join(lost, "registration_id", "left_anti")
+    out["transactions"] = tables["transactions"].join(_lost_registrations(tables, gone), "registration_id", "left_anti")
     return out
 
 
-def cascade_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Rows per table before and after a cascade."""
+def cascade_counts(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """Rows per table before and after the events ``gone`` are deleted, in one pass over each table."""
+    keys = {"ev": ("id", gone.withColumnRenamed("event_id", "id"))}
+    keys |= {child: ("event_id", gone) for child in CHILDREN}
+    keys["transactions"] = ("registration_id", _lost_registrations(tables, gone))
     frames = []
-    for name in sorted(before):
-        n0 = before[name].agg(F.count("*").alias("rows_before"))
-        n1 = after[name].agg(F.count("*").alias("rows_after"))
-        sums = n0.select("rows_before", F.lit(0).cast("bigint").alias("rows_after")).unionByName(
-            n1.select(F.lit(0).cast("bigint").alias("rows_before"), "rows_after")
-        )
-        frames.append(sums.withColumn("table_name", F.lit(name)))
-    stacked = reduce(DataFrame.unionByName, frames)
-    return stacked.groupBy("table_name").agg(F.sum("rows_before").alias("rows_before"), F.sum("rows_after").alias("rows_after"))
+    for name in sorted(tables):
+        rows, goes = tables[name], F.lit(None).cast("boolean")
+        if name in keys:
+            column, lost = keys[name]
+            rows, goes = rows.select(column).join(lost.withColumn("_goes", F.lit(True)), column, "left"), F.col("_goes")
+        counts = rows.agg(F.count("*").alias("rows_before"), F.count_if(goes.isNull()).alias("rows_after"))
+        frames.append(counts.select(F.lit(name).alias("table_name"), "rows_before", "rows_after"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def toggle_promos(promo: DataFrame, ev: DataFrame, toggles: DataFrame) -> DataFrame:
@@ -203,6 +226,36 @@ def publish_events(ev: DataFrame, tt: DataFrame, requests: DataFrame, as_of) ->
     )
 
 
-# Defaults used when rows are created through the bulk append.
+# --- creation in bulk ----------------------------------------------------------------------------
+
+# Defaults used when rows are created in bulk.
 EVENT_DEFAULTS = {k: schemas.EV.defaults[k] for k in ("location_type", "country", "timezone")}
 TICKET_DEFAULTS = {k: schemas.TICKET_TYPES.defaults[k] for k in ("price", "currency")}
+ACCOUNT_DEFAULTS = {k: schemas.ORGANIZERS.defaults[k] for k in ("currency", "timezone", "country")}
+
+
+def create_events(new: DataFrame, existing: DataFrame, as_of) -> DataFrame:
+    """Event rows from ``new(id, organizer_id, title, ...)``: drafts with defaults and a unique slug."""
+    rows = prepared_rows(new, EVENT_DEFAULTS, {"title": X.trimmed})
+    rows = rows.withColumns({"status": F.lit("DRAFT"), "created_at": X.ts(as_of), "updated_at": X.ts(as_of)})
+    return schemas.conform(assign_slugs(rows, "title", "id", existing.select("slug")), schemas.EV)
+
+
+def create_ticket_types(new: DataFrame, existing: DataFrame, order: list[str], as_of) -> DataFrame:
+    """Ticket types from ``new(id, event_id, name, ...)``, numbered in ``order`` after those of their event."""
+    rows = prepared_rows(new, TICKET_DEFAULTS, {"name": X.trimmed})
+    rows = assign_sort_order(existing, rows, order)
+    return schemas.conform(rows.withColumns({"created_at": X.ts(as_of), "updated_at": X.ts(as_of)}), schemas.TICKET_TYPES)
+
+
+def create_accounts(new: DataFrame, existing: DataFrame, row_id: str, as_of) -> DataFrame:
+    """Accounts from sign-ups ``new(row_id, name, email, ...)``: of the sign-ups sharing an address the first
+    one is taken, unless the address is known."""
+    rows = append_rows(
+        existing.select(F.lower("email").alias("email")), new, ["email"], row_id,
+        defaults=ACCOUNT_DEFAULTS, clean={"email": F.lower, "name": X.trimmed},
+    )
+    label = rows.withColumn("_label", F.coalesce("org_name", "name"))
+    rows = assign_slugs(label, "_label", row_id, existing.select(F.col("org_slug").alias("slug")))
+    rows = rows.withColumnsRenamed({row_id: "id", "slug": "org_slug"})
+    return schemas.conform(rows.withColumns({"created_at": X.ts(as_of), "updated_at": X.ts(as_of)}), schemas.ORGANIZERS)

@@ -163,9 +163,7 @@ def event_registrations_by_day(f):
 
 @query
 def publishable_events(f):
-    # Only active tiers that are still unsold count here, so both answers occur.
-    fresh = f.ticket_types.filter(F.col("sold") < F.coalesce("quantity", F.lit(0)))
-    return events.publishable_events(f.ev, fresh)
+    return events.publishable_events(f.ev, f.ticket_types)
 
 
 # --- ticket types and promo codes ------------------------------------------------------------------
@@ -183,9 +181,9 @@ def on_sale_tickets(f):
 
 @query
 def assign_sort_order(f):
-    # Every tier is offered again as a new type, numbered after the active ones.
+    # Every tier is offered again as a new type.
     new = f.ticket_types.select("event_id", F.concat(F.lit("NEW-"), "name").alias("name"), "price")
-    return tickets.assign_sort_order(f.ticket_types.filter("is_active"), new, ["name"])
+    return tickets.assign_sort_order(f.ticket_types, new, ["name"])
 
 
 @query
@@ -782,6 +780,41 @@ def append_rows(f):
     )
 
 
+@query
+def create_events(f):
+    """Every event is created again, typed with blanks around the title and some kinds left out."""
+    new = f.ev.select(
+        (F.col("id") + 1_000_000).alias("id"), "organizer_id", F.concat(F.lit("  "), "title", F.lit(" ")).alias("title"), "description", "city",
+        F.when(F.col("location_type") != "ONLINE", F.col("location_type")).otherwise("").alias("location_type"), "start_date", "end_date", "capacity",
+    )
+    out = changes.create_events(new, f.ev, AS_OF)
+    return out.select("id", "organizer_id", "title", "slug", "city", "location_type", "country", "timezone", "capacity", "status", "is_public", "created_at")
+
+
+@query
+def create_ticket_types(f):
+    """Every tier is offered again as a new type, free and without a currency where the old one was free."""
+    paid = F.when(F.col("price") > 0, F.col("price"))
+    new = f.ticket_types.select(
+        (F.col("id") + 10_000_000).alias("id"), "event_id", F.concat(F.lit(" NEW-"), "name").alias("name"), paid.alias("price"),
+        F.when(F.col("price") > 0, "EUR").otherwise("").alias("currency"), "quantity",
+    )
+    out = changes.create_ticket_types(new, f.ticket_types, ["name"], AS_OF)
+    return out.select("id", "event_id", "name", "price", "currency", "quantity", "sold", "is_active", "sort_order", "created_at")
+
+
+@query
+def create_accounts(f):
+    """Buyers sign up with forty addresses between them, some of them known accounts'."""
+    n = F.col("c_custkey") % 40
+    new = f.base("customer").select(
+        F.col("c_custkey").alias("row_id"), F.concat(F.lit(" "), "c_name").alias("name"), F.concat(F.lit("ORG"), n.cast("string"), F.lit("@Example.com")).alias("email"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Shop "), "c_mktsegment")).otherwise("").alias("org_name"),
+    )
+    out = changes.create_accounts(new, f.organizers, "row_id", AS_OF)
+    return out.select("id", "email", "name", "org_name", "org_slug", "currency", "country", "is_verified", "created_at")
+
+
 def _event_patches(f):
     """Each registration patches its event: city from the buyer's segment, capacity by free rows."""
     return f.registrations.select(
@@ -830,8 +863,8 @@ def _drafts(f):
 
 @query
 def cascade_delete(f):
-    before = _tables(f)
-    return changes.cascade_counts(before, changes.cascade_delete(before, _drafts(f)))
+    tables = _tables(f)
+    return changes.cascade_counts(tables, changes.gone_events(tables, _drafts(f)))
 
 
 @query
@@ -862,14 +895,12 @@ def _publish_requests(f):
 
 @query
 def publish_events(f):
-    fresh = f.ticket_types.filter(F.col("sold") < F.coalesce("quantity", F.lit(0)))
-    return changes.publish_events(f.ev, fresh, _publish_requests(f), AS_OF).select("id", "title", "status", "updated_at")
+    return changes.publish_events(f.ev, f.ticket_types, _publish_requests(f), AS_OF).select("id", "title", "status", "updated_at")
 
 
 @query
 def publish_outcomes(f):
-    fresh = f.ticket_types.filter(F.col("sold") < F.coalesce("quantity", F.lit(0)))
-    return changes.publish_outcomes(f.ev, fresh, _publish_requests(f))
+    return changes.publish_outcomes(f.ev, f.ticket_types, _publish_requests(f))
 
 
 # --- data quality ----------------------------------------------------------------------------------------------
@@ -952,9 +983,9 @@ def validate_accounts(f):
 
 @query
 def constraint_audit(f):
-    """What breaks if drafts were deleted without their children."""
+    """What breaks if some events got other ids and their children kept the old ones."""
     tables = {"organizers": f.organizers, **_tables(f)}
-    tables["ev"] = f.ev.filter(F.col("status") != "DRAFT")
+    tables["ev"] = f.ev.withColumn("id", F.when(F.col("id") % 10 == 3, -F.col("id")).otherwise(F.col("id")))
     return quality.constraint_audit(tables)
 
 

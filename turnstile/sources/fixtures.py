@@ -142,7 +142,8 @@ class Fixtures:
             .otherwise((F.col("p_retailprice").cast(MONEY) * line).cast(MONEY))
             .alias("price"),
             F.when(line % 3 != 0, F.col("p_size") % 8 + 1).alias("quantity"),
-            (line != 5).alias("is_active"),
+            # Some events have nothing on sale.
+            ((line != 5) & (F.col("l_partkey") % 17 != 3)).alias("is_active"),
             (line - 1).alias("sort_order"),
             F.when(line != 2, _shifted("1999-05-01", "p_partkey", 7, 730)).alias("sale_start"),
             F.when(line != 4, _shifted("1999-06-01", "p_partkey", 7, 730)).alias("sale_end"),
@@ -204,10 +205,10 @@ class Fixtures:
 
     @cached_property
     def payments(self) -> DataFrame:
-        """Ledger rows of the dearest card payments (the mapping document has no view for it)."""
-        df = self.registrations.filter((F.col("payment_method") == "STRIPE") & (F.col("amount_paid") >= 85000)).select(
+        """Ledger rows of the card payments; those of two events in three have lost their registration."""
+        df = self.registrations.filter(F.col("payment_method") == "STRIPE").select(
             F.concat(F.lit("PAY-"), "id").alias("id"),
-            F.col("id").alias("registration_id"),
+            F.when(F.col("event_id") % 3 == 0, F.col("id")).alias("registration_id"),
             F.col("amount_paid").alias("amount"),
             F.lit("CARD").alias("method"),
             F.lit("STRIPE").alias("provider"),
