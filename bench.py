@@ -30,7 +30,7 @@ HEADLINE = [
     "ticket_confirmation", "cancel_registrations", "counter_audit", "admit_registrations",
     "admit_registrations_public", "oversold_requests", "classify_scans", "checkin_summary", "marketplace_listing",
     "reconcile_webhooks", "payment_status", "payment_history", "effective_permissions", "apply_patches",
-    "rate_violations",
+    "rate_violations", "cascade_delete", "constraint_audit", "assign_ticket_codes", "stream_scans",
 ]
 
 

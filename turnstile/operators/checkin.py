@@ -45,10 +45,7 @@ def classify_scans(scans: DataFrame, reg: DataFrame, tt: DataFrame, ev: DataFram
         .groupBy("ticket_code", *key, "scan_ts", "attempt")
         .agg(F.count("*").alias("_n"))
     )
-    first = (
-        scans.groupBy(X.normal_code(F.col("ticket_code")).alias("code"), "event_id")
-        .agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
-    )
+    first = seen.groupBy(*key).agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
     tickets = reg.select(
         F.col("ticket_code").alias("code"),
         "event_id",
@@ -57,18 +54,13 @@ def classify_scans(scans: DataFrame, reg: DataFrame, tt: DataFrame, ev: DataFram
         "status",
         "checked_in",
     )
-    known = tickets.join(first, key)
     standing = _standing(F.col("registration_id"), F.col("status"), F.col("checked_in"))
-    # Names are joined to the answers: registrations, the larger side, are moved only once.
+    # Names are joined to the scanned tickets: registrations are moved only once, and scans of unknown
+    # codes, which have no ticket type, meet no join on one.
     types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type_name"))
-    events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("_title"))
-    answered = (
-        seen.join(known, key, "left")
-        .withColumn("_standing", standing)
-        .join(types, "ticket_type_id", "left")
-        .join(events, "event_id", "left")
-        .withColumn("event_title", F.when(F.col("registration_id").isNotNull(), F.col("_title")))
-    )
+    events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"))
+    known = tickets.join(first, key).join(types, "ticket_type_id", "left").join(events, "event_id", "left")
+    answered = seen.join(known, key, "left").withColumn("_standing", standing)
     is_first = F.struct("scan_ts", "attempt", "ticket_code") == F.col("_first")
     single = _expand(answered.withColumn("_is_first", is_first), "_n", "_copy")
     result = F.when(
@@ -133,7 +125,7 @@ def recent_entries(reg: DataFrame, tt: DataFrame, k: int = 10) -> DataFrame:
 def offline_list(reg: DataFrame, tt: DataFrame) -> DataFrame:
     """Paid tickets of every event by last name, with the event's total on each row."""
     types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type"))
-    paid = reg.filter(X.is_paid(F.col("status"))).join(types, "ticket_type_id")
+    paid = reg.filter(X.is_paid(F.col("status")))
     totals = paid.groupBy("event_id").agg(F.count("*").alias("total"))
-    listed = paid.select("event_id", "ticket_code", "first_name", "last_name", "checked_in", "ticket_type")
+    listed = paid.join(types, "ticket_type_id").select("event_id", "ticket_code", "first_name", "last_name", "checked_in", "ticket_type")
     return listed.join(totals, "event_id").orderBy("event_id", "last_name", "ticket_code")

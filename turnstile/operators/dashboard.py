@@ -9,6 +9,7 @@ from turnstile.functions.exprs import MONEY_SUM, days_before, in_window, is_paid
 from turnstile.functions.ranking import top_k
 from turnstile.operators.rollups import (
     event_measures,
+    of_events,
     paid_count,
     paid_revenue,
     per_organizer,
@@ -42,7 +43,7 @@ def organizer_registration_counts(ev: DataFrame, reg: DataFrame, as_of) -> DataF
 def organizer_recent_events(ev: DataFrame, reg: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` newest events of each organizer; the ranking touches events only."""
     newest = top_k(ev, ["organizer_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], k)
-    sales = event_measures(reg, {"registrations_count": paid_count(), "revenue": paid_revenue()})
+    sales = event_measures(of_events(reg, newest), {"registrations_count": paid_count(), "revenue": paid_revenue()})
     return newest.join(sales, newest.id == sales.event_id, "left").select(
         "organizer_id", "position", "id", "title", "slug", "status", "start_date", "city", "created_at",
         zero(F.col("registrations_count")).alias("registrations_count"),
@@ -70,22 +71,24 @@ def daily_revenue(ev: DataFrame, reg: DataFrame, as_of, days: int = 30) -> DataF
 
 def organizer_dashboard(org: DataFrame, ev: DataFrame, reg: DataFrame, as_of, k: int = 5) -> DataFrame:
     """One row per organizer: profile, event counts, revenue, registration counts and the newest
-    events as an array of at most ``k`` structs. Registrations are read in one pass for the totals."""
+    events as an array of at most ``k`` structs. Registrations are summed per event once, for the
+    totals and the newest events."""
     revenue, counts = revenue_measures(as_of), registration_measures(as_of)
-    totals = per_organizer(ev, event_measures(reg, {**revenue, **counts}), [*revenue, *counts])
-    item = F.struct("position", "id", "title", "slug", "status", "start_date", "city", "registrations_count", "revenue")
-    recent = (
-        organizer_recent_events(ev, reg, k)
-        .groupBy("organizer_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("recent_events"))
+    shown = {"registrations_count": paid_count(), "revenue": paid_revenue()}
+    sales = event_measures(reg, {**revenue, **counts, **shown})
+    newest = top_k(ev, ["organizer_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], k).select("id", "position")
+    rows = ev.join(newest, "id", "left").join(sales, ev["id"] == sales.event_id, "left")
+    item = F.struct(
+        "position", ev["id"], "title", "slug", "status", "start_date", "city",
+        zero(F.col("registrations_count")).alias("registrations_count"), zero_money(F.col("revenue")).alias("revenue"),
+    )
+    totals = rows.groupBy("organizer_id").agg(
+        *[F.sum(c).alias(c) for c in [*revenue, *counts]],
+        F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("recent_events"),
     )
     base = org.withColumnRenamed("id", "organizer_id")
     event_counts = organizer_event_counts(ev)
-    out = (
-        base.join(event_counts, "organizer_id", "left")
-        .join(totals, "organizer_id", "left")
-        .join(recent, "organizer_id", "left")
-    )
+    out = base.join(event_counts, "organizer_id", "left").join(totals, "organizer_id", "left")
     return out.select(
         *base.columns,
         *[zero(F.col(c)).alias(c) for c in event_counts.columns[1:]],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions.exprs import is_paid, sum_if, zero, zero_money
 from turnstile.functions.ranking import page_per_key
-from turnstile.operators.rollups import event_measures, paid_count, paid_revenue
+from turnstile.operators.rollups import event_measures, of_events, paid_count, paid_revenue
 
 
 def event_listing(
@@ -18,7 +18,8 @@ def event_listing(
         ev = ev.filter(F.col("status") == status.upper())
     order = [F.col("created_at").desc_nulls_first(), F.col("id")]
     shown = page_per_key(ev, ["organizer_id"], order, page, limit)
-    sales = event_measures(reg, {"registrations_count": paid_count(), "total_revenue": paid_revenue()})
+    facts = reg if page is None else of_events(reg, shown)
+    sales = event_measures(facts, {"registrations_count": paid_count(), "total_revenue": paid_revenue()})
     return shown.join(sales, shown.id == sales.event_id, "left").select(
         *shown.columns,
         zero(F.col("registrations_count")).alias("registrations_count"),

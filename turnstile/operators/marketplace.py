@@ -77,8 +77,8 @@ def marketplace_listing(
     # Owners are joined first so that the page holds only events the listing can show.
     shown = page_of(shown.select("organizer_id", *_EVENT_COLUMNS).join(owners, "organizer_id"), order, page, limit)
     if page is not None:
-        # At most ``limit`` events: facts of other events are dropped before any shuffle.
-        wanted = F.broadcast(shown.select(F.col("id").alias("event_id")))
+        # Facts of other events are dropped before they are summed.
+        wanted = shown.select(F.col("id").alias("event_id"))
         reg, tt = reg.join(wanted, "event_id", "left_semi"), tt.join(wanted, "event_id", "left_semi")
     return (
         shown.join(_paid_per_event(reg), "id", "left")

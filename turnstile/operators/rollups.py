@@ -16,6 +16,11 @@ def event_measures(reg: DataFrame, measures: dict[str, Column], key: str = "even
     return reg.groupBy(key).agg(*[m.alias(name) for name, m in measures.items()])
 
 
+def of_events(reg: DataFrame, ev: DataFrame) -> DataFrame:
+    """Registrations of the given events: a page of them cuts the facts before they are summed."""
+    return reg.join(ev.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+
+
 def owner_of(ev: DataFrame) -> DataFrame:
     return ev.select(F.col("id").alias("event_id"), "organizer_id")
 

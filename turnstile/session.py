@@ -15,6 +15,8 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where that costs a later exchange again.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A top-k per key is cut before the shuffle for deep pages as well; counting rows needs no memory.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
