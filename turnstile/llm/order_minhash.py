@@ -27,7 +27,8 @@ from turnstile.llm import common as C
 K, TUPLE, SKETCHES = 9, 2, 32
 #: k-mers looked at in each order: those below a bound that lets through this many on average.
 EXPECTED = 14
-CHUNK = 1 << 20
+#: Code points taken at a time.
+CHUNK = 1 << 17
 
 _ODD = np.random.RandomState(8).randint(0, 1 << 31, SKETCHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = 0xA24BAED4963EE407
@@ -189,7 +190,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that follows a range is the first of the next one, which is dealt to both."""
     p = C.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).isNull().alias("none"), F.expr(f"coalesce(~cast(`{id_col}` as bigint), 0L)").alias("o"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = rows.select("none", "o", "h").repartitionByRange(p, "none", "o", "h")
+    # Several ranges for each partition: hashed, they fill partitions more evenly.
+    keys = rows.select("none", "o", "h").repartitionByRange(4 * p, "none", "o", "h")
     first = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("none", "o", "h")).alias("k"))
     heads = sorted((r.k.none, r.k.o, r.k.h) for r in first.collect())  # one for each range
     shape = "none boolean, o long, h long, id long, text string"
