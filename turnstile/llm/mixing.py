@@ -130,10 +130,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """The mix itself, with the columns of docs: a document once with the words taken once or more, and
     once more with those taken twice. A text taken whole is kept as it is, else its words are joined by
     single spaces; documents that take nothing are not in the mix."""
-    m = mix(sized(docs, id_col, source_col, text_col)).where("taken > 0")
+    others = F.struct(*[c for c in docs.columns if c != text_col])
+    rows = docs.select(others.alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_from_source"), F.col(text_col).alias("_text"))
+    m = mix(sized(rows, "_id", "_from_source", "_text")).where("taken > 0")
     m = m.withColumn("_pass", F.explode(F.expr(f"sequence(1L, {MOST}L)")))
     m = m.withColumn("_runs", F.expr("filter(_takes, t -> t.times >= _pass)")).where("size(_runs) > 0")
     whole = F.expr("aggregate(_runs, 0L, (n, t) -> n + t.e - t.b) = size")
-    words = F.split(F.regexp_replace(text_col, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    words = F.split(F.regexp_replace("_text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.flatten(F.transform("_runs", lambda t: F.slice(words, (t["b"] + 1).cast("int"), (t["e"] - t["b"]).cast("int")))), " ")
-    return m.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    text = F.when(whole, F.col("_text")).otherwise(cut).alias(text_col)
+    return m.select(*[text if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

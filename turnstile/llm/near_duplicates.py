@@ -281,8 +281,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the same document and stay or go together; so are rows with the same text and no id."""
     gone = _components(docs, id_col, text_col).where("not kept").select(F.col("id").alias("_gone"), "k").distinct()
     gone = C.store(gone, "gone")
-    rows = docs.withColumn("_k", F.xxhash64(text_col))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_k"))
     rows = C.flagged(rows, F.col("_k"), gone, "_maybe")
-    same = rows[id_col].cast("long").eqNullSafe(gone["_gone"]) & (rows["_k"] == gone["k"])
+    same = rows["_id"].eqNullSafe(gone["_gone"]) & (rows["_k"] == gone["k"])
     kept = rows.where("_maybe").join(gone, same, "left_anti")
-    return rows.where("not _maybe").union(kept).drop("_k", "_maybe")
+    return rows.where("not _maybe").union(kept).select("_row.*")
