@@ -2,7 +2,7 @@
 
 Nulls: a NULL text is not toxic, near to nothing, repeats nothing and takes no part in the mix (no words).
 Rows without an id are handled as their stage's operator says. An empty table gives an empty result; columns
-besides those of documents pass through up to the last stage, and one named like a stage's result is replaced.
+besides those of documents pass through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +22,21 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns as one, whatever their names."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels that are not held out."""
     prepare(spark)
     labels = read_table(spark, sf_dir, "labels").where(~held_out())
-    judged = toxicity.judge(docs, toxicity.train(docs, labels))
-    return judged.where("predicted = 0").select(*docs.columns)
+    judged = toxicity.judge(_carried(docs), toxicity.train(docs.select("doc_id", "text"), labels))
+    return _restored(judged.where("predicted = 0"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the words that a repeated window of 35 words covers; no document goes."""
     prepare(spark)
-    return _with_length(repeats.remove_repeats(docs), docs.columns)
+    return _with_length(_restored(repeats.remove_repeats(_carried(docs)), docs.columns), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
