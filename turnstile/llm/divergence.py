@@ -26,11 +26,12 @@ COMMON = 20
 #: Greatest distance by character classes and by words.
 FARTHEST = {"char_distance": 0.3, "word_distance": 0.45}
 LEAST_WORDS, LEAST_REFERENCE = 50, 2_000
+#: Disjoint, the commonest first.
 CLASSES = {
     "lower": "[a-z]",
+    "space": r"[\x20\x09-\x0D]",
     "upper": "[A-Z]",
     "digit": "[0-9]",
-    "space": r"[\x20\x09-\x0D]",
     "stop": "[.,;:!?'\"()-]",
     "symbol": "[#*$%&|<>]",
     "wide": r"[^\x00-\x7F]",
@@ -41,9 +42,15 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit(C.WORD), F.lit(0))
 
 
-def _count(name: str) -> Column:
-    """Characters of the class in _text, of _length characters."""
-    return (F.col("_length") - F.length(F.regexp_replace("_text", CLASSES[name] + "+", ""))).cast("long")
+def _class_counts(d: DataFrame) -> DataFrame:
+    """d with _chars, the number of characters of each class in _text. Small letters and white space are
+    taken out one after the other; little is left for the other classes."""
+    out = lambda text, name: F.regexp_replace(text, CLASSES[name] + "+", "")
+    lost = lambda text, rest: (F.length(text) - F.length(rest)).cast("long")
+    d = d.withColumn("_rest", out("_text", "lower")).withColumn("_marks", out("_rest", "space"))
+    first = [lost("_text", "_rest").alias("lower"), lost("_rest", "_marks").alias("space")]
+    others = [lost("_marks", out("_marks", name)).alias(name) for name in list(CLASSES)[2:]]
+    return d.withColumn("_chars", F.struct(*first, *others)).drop("_rest", "_marks")
 
 
 def _repeat_words(words: str) -> Column:
@@ -65,7 +72,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", _words("_text"))
     lines = F.expr(r"filter(split(_text, '\n', -1), l -> l RLIKE '[^\\x20\\x09-\\x0D]')")
     d = d.withColumn("n_words", F.size("_words").cast("long")).withColumn("_length", F.length("_text"))
-    d = d.withColumn("_chars", F.struct(*[_count(name).alias(name) for name in CLASSES])).withColumn("_lines", lines)
+    d = _class_counts(d).withColumn("_lines", lines)
     d = d.withColumn("word_chars", F.col("_length") - F.col("_chars.space")).withColumn("n_symbols", F.col("_chars.symbol"))
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     d = d.withColumn("n_repeat_words", _repeat_words("_words"))
