@@ -129,6 +129,23 @@ def pagination(f):
     return events.pagination(f.ev, page=1, limit=10, by=["organizer_id"])
 
 
+@query
+def pagination_registrations(f):
+    found = registrations.registration_filter(f.registrations, "confirmed", "machinery")
+    return events.pagination(found, page=1, limit=20, by=["event_id"])
+
+
+@query
+def pagination_marketplace(f):
+    listed = marketplace.marketplace_listing(f.ev, f.organizers, f.registrations, f.ticket_types, AS_OF, q="ro", page=None)
+    return events.pagination(listed, page=1, limit=12)
+
+
+@query
+def pagination_payments(f):
+    return events.pagination(f.transactions.filter(F.col("status") == "SUCCESS"), page=1, limit=20, by=["organizer_id"])
+
+
 @query
 def event_detail(f):
     out = events.event_detail(f.ev, f.registrations)
