@@ -98,7 +98,7 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 def fit(texts: DataFrame) -> DataFrame:
     """The model as (kind, k, v): natural logarithms of the probabilities of n-grams (kind 1 to ORDER) and of
     the weights of contexts of length 1 to ORDER - 1 (kind 11 and up), and of an unknown character (kind 0)."""
-    counts = {ORDER: C.store(texts.mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "counts")}
+    counts = {ORDER: C.store(texts.mapInArrow(C.released(_count), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "counts")}
     for n in range(ORDER - 1, 0, -1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << BITS * n) - 1))
         counts[n] = C.store(counts[n + 1].groupBy(suffix.alias("g")).agg(F.count("*").alias("c")), "counts")
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         part = model.where(everywhere | (before % shards == s)).toArrow()
         arrays = tuple(part.column(c).to_numpy() for c in ("kind", "k", "v"))
         held = spark.sparkContext.broadcast(arrays)
-        own = docs.mapInArrow(_scorer(held, s, shards), "id long, lang string, h long, n long, s double").withColumn("shard", F.lit(s))
+        own = docs.mapInArrow(C.released(_scorer(held, s, shards)), "id long, lang string, h long, n long, s double").withColumn("shard", F.lit(s))
         out = own if out is None else out.union(own)
     rows = out.groupBy("id", "lang", "h").agg(F.count(F.when(F.col("shard") == 0, 1)).alias("rows"), F.max("n").alias("n"), F.sum("s").alias("s"))
     return rows.select("id", "lang", "h", "rows", "n", F.when(F.col("n") > 0, F.col("s") / F.col("rows") / F.col("n")).alias("mean"))

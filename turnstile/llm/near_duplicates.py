@@ -224,7 +224,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     pairs = pairs.where(F.expr(f"(1 - ({_DIFFERENT}) / {HASHES}.0D - {_CHANCE}D) / {1 - _CHANCE}D >= {LEAST_ESTIMATE}D")).select("a", "b")
     text = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary")
+    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(C.released(_confirm), "a binary, b binary")
 
 
 def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """As components(), with k, the hash of the row's text."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
-    sketch = C.store(docs.mapInArrow(_sketch, "id long, k long, n long, node binary, sig array<long>, bands array<long>"), "sketch")
+    sketch = C.store(docs.mapInArrow(C.released(_sketch), "id long, k long, n long, node binary, sig array<long>, bands array<long>"), "sketch")
     # A class keeps the hash of one of its texts to fetch that text later.
     nodes = sketch.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("k").alias("k"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = C.store(nodes, "classes")
@@ -266,10 +266,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     live = live.join(nodes.select("node", "n", "sig"), "node").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     live = live.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     live = live.select("key", "i", "j", "block", "node", "root", "n", "sig").repartition(C.partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = live.mapInArrow(_compare, "key long, i int, j int, block int, node binary, root binary")
+    near = live.mapInArrow(C.released(_compare), "key long, i int, j int, block int, node binary, root binary")
     near = near.join(texts, "node").select("key", "i", "j", "block", "node", "root", "text")
     near = near.repartition(C.partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    roots = _merge(roots, C.store(near.mapInArrow(_link, "a binary, b binary"), "links"))
+    roots = _merge(roots, C.store(near.mapInArrow(C.released(_link), "a binary, b binary"), "links"))
     rows = sketch.select("id", "k", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("c"))
     rows = rows.join(least, "root", "left").withColumn("c", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))

@@ -122,7 +122,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(_hex(fingerprints(_texts(part.column(at)))))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.released(run), schema)
 
 
 def _deal(heads: list[tuple[bool, int, int]]) -> Callable:
@@ -195,6 +195,6 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("none", "o", "h")).alias("k"))
     heads = sorted((r.k.none, r.k.o, r.k.h) for r in first.collect())  # one for each range
     shape = "none boolean, o long, h long, id long, text string"
-    dealt = rows.mapInArrow(_deal(heads), f"p int, extra boolean, {shape}").repartition(p, "p").sortWithinPartitions("p", "extra", "none", "o", "h")
-    out = dealt.mapInArrow(_report, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = rows.mapInArrow(C.released(_deal(heads)), f"p int, extra boolean, {shape}").repartition(p, "p").sortWithinPartitions("p", "extra", "none", "o", "h")
+    out = dealt.mapInArrow(C.released(_report), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", id_col)

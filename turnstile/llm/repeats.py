@@ -86,7 +86,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_seeds(texts: DataFrame) -> np.ndarray:
-    found = C.store(texts.mapInArrow(_frequent, "v long, c long, total long"), "frequent")
+    found = C.store(texts.mapInArrow(C.released(_frequent), "v long, c long, total long"), "frequent")
     total = found.agg(F.sum("total")).first()[0] or 0
     # The counts of all kept values add up to no more than the total: at most 2 * HOT_SHARE rows.
     rows = found.groupBy("v").agg(F.sum("c").alias("c")).where((F.col("c") > 0) & (F.col("c") * 2 * HOT_SHARE >= total)).collect()
@@ -319,13 +319,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     p = C.partitions(spark)
     texts = docs.select(text_col)
     hot = frequent_seeds(texts)
-    packed = texts.mapInArrow(_pack(16 * p, hot), "bucket int, payload binary")
+    packed = texts.mapInArrow(C.released(_pack(16 * p, hot)), "bucket int, payload binary")
     packed = packed.repartition(p, "bucket").sortWithinPartitions("bucket")
     shape = "g int, kind int, k binary, f int, t int, payload binary"
-    found = packed.mapInArrow(_count(4 * p), shape)
-    blocks = docs.mapInArrow(_block(docs.columns.index(text_col), 4 * p), shape)
+    found = packed.mapInArrow(C.released(_count(4 * p)), shape)
+    blocks = docs.mapInArrow(C.released(_block(docs.columns.index(text_col), 4 * p)), shape)
     keep = [i for i, c in enumerate(docs.columns) if c not in (text_col, "n_words", "n_removed")]
     fields = [docs.schema[i] for i in keep] + [T.StructField(text_col, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     schema = T.StructType(fields)
     both = found.union(blocks).repartition(p, "g").sortWithinPartitions("g", "kind")
-    return both.mapInArrow(_apply(docs.columns.index(text_col), schema.names, keep), schema)
+    return both.mapInArrow(C.released(_apply(docs.columns.index(text_col), schema.names, keep)), schema)

@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     order = [F.col("doc").asc_nulls_last(), F.xxhash64("text")]
     rows = rows.repartitionByRange(C.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    shards = C.store(rows.mapInArrow(_writer(folder, tokenizer, kind, end_id), "shard int, n_docs long, n_tokens long"), "shards")
+    shards = C.store(rows.mapInArrow(C.released(_writer(folder, tokenizer, kind, end_id)), "shard int, n_docs long, n_tokens long"), "shards")
     # One row per shard: as many as partitions.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).withColumn("dtype", F.lit(kind))
@@ -226,7 +226,7 @@ def _reader(folder: str, id_type: str) -> Callable:
 def read_digests(shards: DataFrame, folder: str, id_type: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of every document, from the files alone."""
     rows = shards.repartition(C.partitions(shards.sparkSession), "shard")
-    out = rows.mapInArrow(_reader(folder, id_type), f"doc {id_type}, start long, n_tokens long, crc long")
+    out = rows.mapInArrow(C.released(_reader(folder, id_type)), f"doc {id_type}, start long, n_tokens long, crc long")
     return out.select(F.col("doc").alias(id_col), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 

@@ -357,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picks = [labels.where(F.col("toxic") == t).orderBy(F.xxhash64("_label"), "_label").limit(SAMPLE) for t in (0, 1)]
     some = F.broadcast(picks[0].union(picks[1]))
     texts = docs.join(some, docs[id_col] == some["_label"]).select(F.col(text_col).alias("text"), "toxic")
-    texts = texts.mapInArrow(_units_of, "units array<string>, toxic int")
+    texts = texts.mapInArrow(C.released(_units_of), "units array<string>, toxic int")
     # Copies of one text would count as so many witnesses.
     texts = texts.withColumn("h", F.xxhash64(F.sort_array("units"))).dropDuplicates(["h"]).drop("h")
     texts = texts.where(F.size("units") <= UNITS)
@@ -383,4 +383,4 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from THRESHOLD on)."""
     keep = [i for i, c in enumerate(docs.columns) if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[i] for i in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), schema.names, keep), schema)
+    return docs.mapInArrow(C.released(_scorer(model, docs.columns.index(text_col), schema.names, keep)), schema)
