@@ -17,7 +17,7 @@ from turnstile.session import scratch_path, tune
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text taken at a time; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SEPARATORS)] = False
@@ -28,7 +28,7 @@ _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 def prepare(spark: SparkSession) -> SparkSession:
     """The library's settings, and Arrow batches cut by bytes: texts differ much in length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return tune(spark)
 
 

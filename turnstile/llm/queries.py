@@ -112,7 +112,7 @@ def op7_sentence_pieces(spark, sf_dir):
 
     model = tokenizer_file("piece_bpe_32k.model")
     docs = documents(spark, sf_dir).select("doc_id", F.col("text"))
-    out = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    out = sentence_pieces.encode(docs, model, back=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
