@@ -40,9 +40,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, with the smallest id, stays."""
+    """One row of each group of near copies, with the smallest id, stays; repeated rows are near copies."""
     prepare(spark)
-    return near_duplicates.keep_one(docs)
+    return near_duplicates.keep_one_row(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

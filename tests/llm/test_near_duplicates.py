@@ -93,6 +93,21 @@ def test_one_of_each_group_stays(spark):
     assert ids == sorted([0, 1, 2, 3, 4, 4, 6, 7, 8, 9, -1])
 
 
+def test_exactly_one_row_of_each_group_stays(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(prose(rng, 40, 10_000)) for _ in range(3))
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (2, a, "x"), (None, a, "x")]  # a repeated row and copies
+    rows += [(None, b, "x"), (None, b, "x"), (None, b + " end", "y")]  # no id at all
+    rows += [(5, c, "x"), (5, c + " end", "x"), (6, c, "x"), (7, None, "x"), (7, None, "x"), (8, "", "x")]
+    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = near_duplicates.keep_one_row(clashing(docs, "k", "root", "first", "_id", "_row", "_maybe"))
+    got = kept.collect()
+    assert kept.columns[:3] == docs.columns and {r["_row"] for r in got} == {"mine"}
+    assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 5, 7, 7, 8]
+    assert {r.text for r in got if r.doc_id == 1} == {a}
+    assert near_duplicates.keep_one_row(no_docs(spark)).count() == 0
+
+
 def test_no_rows(spark):
     assert near_duplicates.components(no_docs(spark)).count() == 0
     assert near_duplicates.keep_one(no_docs(spark)).count() == 0

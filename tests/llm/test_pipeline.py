@@ -1,8 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.odd import clashing, no_docs, odd_docs, words
+from tests.llm.odd import clashing, no_docs, odd_docs, prose, words
 from turnstile.llm import common
 from turnstile.llm.queries import ORACLE, QUERIES
 
@@ -53,6 +55,17 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
             assert out.where("not lossless").count() == 0
 
 
+def test_one_copy_of_a_repeated_row_reaches_the_last_stage(spark, sf_dir):
+    rng = random.Random(9)
+    a, b = (" ".join(prose(rng, 60, 10_000)) for _ in range(2))
+    rows = [(10**9, a, "en", "a", len(a))] * 2 + [(10**9 + 1, a, "en", "a", len(a))] + [(None, b, "en", "a", len(b))] * 2
+    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = dict(stages(spark, docs, sf_dir))
+    assert sorted((r.doc_id or 0) for r in seen["near_duplicates"].collect()) == [0, 10**9]
+    assert {r.text for r in seen["substring_dedup"].collect()} == {a, b}
+    assert {r.doc_id for r in seen["sentence_pieces"].collect()} == {None, 10**9}
+
+
 def test_no_rows(spark, sf_dir):
     for _, out in stages(spark, no_docs(common.prepare(spark)), sf_dir):
         assert out.count() == 0

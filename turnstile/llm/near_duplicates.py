@@ -239,11 +239,11 @@ def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs; id_col is an integer column."""
-    return _components(docs, id_col, text_col).withColumnRenamed("id", id_col).drop("k")
+    return _components(docs, id_col, text_col).withColumnRenamed("id", id_col).drop("k", "root")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As components(), with k, the hash of the row's text."""
+    """As components(), with k, the hash of the row's text, and root, NULL without words, one per component."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
     sketch = C.store(docs.mapInArrow(C.released(_sketch), "id long, k long, n long, node binary, sig array<long>, bands array<long>"), "sketch")
     # A class keeps the hash of one of its texts to fetch that text later.
@@ -273,7 +273,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = sketch.select("id", "k", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("c"))
     rows = rows.join(least, "root", "left").withColumn("c", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
-    return rows.select("id", "k", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
+    return rows.select("id", "k", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,3 +286,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = rows["_id"].eqNullSafe(gone["_gone"]) & (rows["_k"] == gone["k"])
     kept = rows.where("_maybe").join(gone, same, "left_anti")
     return rows.where("not _maybe").union(kept).select("_row.*")
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with exactly one row of each component: that with the least id that is not NULL, then the least hash
+    of the text; of rows equal in both, the one with the least hash of all columns. Rows without words all stay."""
+    members = _components(docs, id_col, text_col).where("root is not null").groupBy("root", "id", "k").agg(F.count("*").alias("c"))
+    members = C.store(members, "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first"))
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k") == F.col("first.k"))
+    surplus = members.join(first, "root").where(~is_first | (F.col("c") > 1)).select(F.col("id").alias("_gone"), "k", is_first.alias("first"))
+    surplus = C.store(surplus, "surplus")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_k"))
+    same = lambda other: F.col("_id").eqNullSafe(other["_gone"]) & (F.col("_k") == other["k"])
+    marked = C.flagged(rows, F.col("_k"), surplus, "_maybe")
+    alone = marked.where("_maybe").join(surplus, same(surplus), "left_anti")
+    # Copies are combined in every task before they are shuffled.
+    several = surplus.where("first")
+    copies = C.flagged(rows, F.col("_k"), several, "_maybe").where("_maybe")
+    copies = copies.groupBy("_id", "_k").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).join(several, same(several), "left_semi")
+    return marked.where("not _maybe").union(alone).select("_row").union(copies.select("_row")).select("_row.*")
