@@ -66,6 +66,12 @@ def test_one_copy_of_a_repeated_row_reaches_the_last_stage(spark, sf_dir):
     assert {r.doc_id for r in seen["sentence_pieces"].collect()} == {None, 10**9}
 
 
+def test_empty_labels_keep_all_documents(spark, tmp_path):
+    docs = odd_docs(common.prepare(spark))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_no_rows(spark, sf_dir):
     for _, out in stages(spark, no_docs(common.prepare(spark)), sf_dir):
         assert out.count() == 0

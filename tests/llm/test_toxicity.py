@@ -86,3 +86,10 @@ def test_labels_of_one_class_or_none(spark):
         got = toxicity.judge(docs, toxicity.train(docs, labels)).collect()
         assert all(abs(r.score - share) < 1e-6 for r in got)
     assert toxicity.judge(no_docs(spark), toxicity.train(no_docs(spark), labels)).count() == 0
+
+
+def test_nothing_is_predicted_without_a_fit(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, "three")], "doc_id long, text string")
+    for rows in ([], [(1, 0)], [(1, 1)], [(1, 0), (2, 0), (3, 0)], [(1, 1), (3, 1)]):
+        model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert all(r.predicted == 0 for r in toxicity.judge(docs, model).collect()), rows

@@ -18,8 +18,8 @@ The fit takes at most `SAMPLE` labelled texts of each class (the rows with the l
 those of more than `UNITS` units, whose label says little about any; scoring takes every whole text.
 
 Nulls: a NULL or empty text has no unit and gets the score of the least suspicious text. Labels that are
-NULL, belong to no row or to a NULL id are not used; labels of one class only give every text the smoothed
-share of toxic labels. Repeated rows are scored each. Other columns pass through; `score` and `predicted`
+NULL, belong to no row or to a NULL id are not used; without two classes of labelled texts nothing can be
+fitted: every text gets the smoothed share of toxic labels as its score, and none is predicted. Repeated rows are scored each. Other columns pass through; `score` and `predicted`
 replace columns of these names.
 """
 
@@ -194,6 +194,7 @@ class Model:
     table: np.ndarray  # weight of each of the 64^3 subsequences
     bias: float
     border: np.ndarray  # weights of features(), the constant last
+    fitted: bool = True  # a share of labels says nothing about any one text
 
     def values(self, names: list[str]) -> np.ndarray:
         """The SVM's value of each unit; the worst piece counts."""
@@ -363,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.where(F.size("units") <= UNITS)
     rows = [(list(r.units), r.toxic) for r in texts.collect()]
     if len({t for _, t in rows}) < 2:
-        return Model(np.array([97], np.uint32), np.zeros(64**3, np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log(share / (1 - share))]))
+        return Model(np.array([97], np.uint32), np.zeros(64**3, np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log(share / (1 - share))]), fitted=False)
     rows.sort()
     return fit_units(rows, share)
 
@@ -374,13 +375,13 @@ def _scorer(model: Model, text_at: int, names: list[str], keep: list[int]) -> Ca
             text = C.plain_text(batch.column(text_at))
             for a, b in C.chunks(text):
                 score = model.score(text.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in keep), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in keep), pa.array(score), pa.array((model.fitted & (score >= THRESHOLD)).astype(np.int32))], names)
 
     return run
 
 
 def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on)."""
+    """docs with score (0 to 1) and predicted (1 from THRESHOLD on; 0 if nothing was fitted)."""
     keep = [i for i, c in enumerate(docs.columns) if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[i] for i in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(C.released(_scorer(model, docs.columns.index(text_col), schema.names, keep)), schema)
