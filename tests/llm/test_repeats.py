@@ -56,6 +56,24 @@ def test_buckets_beyond_a_part_are_solved_in_parts(spark, monkeypatch):
     test_random_passages_equal_brute_force(spark)
 
 
+def test_a_passage_of_many_texts_reaches_its_bucket_once():
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(8)
+    passage = prose(rng, 90)
+    texts = [" ".join(prose(rng, 3, 10_000) + passage) for _ in range(500)]
+    rows = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50])], ["text"]) for i in range(0, 500, 50)]
+    payloads = [x for b in repeats._pack(4, np.zeros(0, np.uint64))(iter(rows)) for x in b.column(1).to_pylist()]
+    unpacked = [pickle.loads(zstandard.ZstdDecompressor().decompress(x)) for x in payloads]
+    inside = [x for u in unpacked for x in u[-1].split(b"\n") if x.decode() in " ".join(passage)]
+    assert inside and len(inside) == len(set(inside))
+    assert max(int(u[1].max()) for u in unpacked) == 500
+
+
 def test_equal_hashes_are_compared(monkeypatch):
     import numpy as np
     import pyarrow as pa

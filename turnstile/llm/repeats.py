@@ -2,9 +2,11 @@
 
 A window is `WINDOW` consecutive words of one text. Its minimiser is the least hash among its 5-word
 sequences, so equal windows have equal minimisers; consecutive windows with one minimiser travel as one
-packed string of words to the minimiser's bucket. A bucket counts its windows exactly: equal packed strings
-are combined first, the windows of the others are sorted by a 64-bit hash and equal hashes are compared
-word by word. What a bucket finds repeated goes back to the texts as word ranges.
+packed string of words to the minimiser's bucket. Of the equal strings that a task gathers one travels, with
+their number, so a bucket holds distinct strings however often a passage stands in the corpus. It counts its
+windows exactly: the windows of the strings are sorted by a 64-bit hash and equal hashes are compared word by
+word. The runs of repeated windows of a string go to the places where it stands by a join on the string's
+digest, which may be split; only places whose digest may have runs are shuffled.
 
 Sequences that open more than one super-k-mer in two thousand (frequent lines) are taken as minimisers
 only by windows that hold nothing else, so that a common line with many neighbours does not fill one
@@ -109,20 +111,38 @@ def _join(w: C.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, np.concatenate(([0], end))[starts], end - length
 
 
+def _strings(texts: pa.Array, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, first word in it, minimiser) of every super-k-mer of some texts, and its packed string."""
+    w = C.Words(texts)
+    t, i, n, v = _super_kmers(w, hot)
+    if not len(t):
+        return t, i, v, []
+    flat, _, at = _join(w, np.ones(len(w.begin), bool))
+    data, last = flat.tobytes(), i + n + WINDOW - 2
+    stop = at[last] + (w.end - w.begin)[last]
+    return t, i - w.first[t], v, [data[x:y] for x, y in zip(at[i].tolist(), stop.tolist(), strict=True)]
+
+
+def _digests(strings: list[bytes]) -> np.ndarray:
+    """Two longs for each string."""
+    return np.frombuffer(b"".join(hashlib.md5(x).digest() for x in strings), "<i8").reshape(-1, 2)
+
+
 def _pack(buckets: int, hot: np.ndarray) -> Callable:
     def flush(rows):
-        bucket = np.concatenate([r[0] for r in rows])
+        strings = pa.array([x for r in rows for x in r[3]], pa.binary()).dictionary_encode()  # equal ones once, with their number
+        code = strings.indices.to_numpy()
+        first = np.unique(code, return_index=True)[1]
+        count = np.bincount(code, np.concatenate([r[2] for r in rows])).astype(np.int64)
+        bucket, sub = (np.concatenate([r[i] for r in rows])[first] for i in (0, 1))
         order = np.argsort(bucket, kind="stable")
-        sub, start, count = (np.concatenate([r[i] for r in rows])[order] for i in (1, 2, 3))
-        strings = [s for r in rows for s in r[4]]
-        keys = [k for r in rows for k in r[5]]
-        order, bucket = order.tolist(), bucket[order]
+        bucket, sub, count = bucket[order], sub[order], count[order]
+        strings, order = strings.dictionary.to_pylist(), order.tolist()
         cut = np.flatnonzero(np.diff(bucket)) + 1
         zip_ = zstandard.ZstdCompressor(level=5)
         out = []
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
-            own = [strings[i] for i in order[a:b]]
-            out.append(zip_.compress(pickle.dumps((sub[a:b], start[a:b], count[a:b], b"".join(keys[i] for i in order[a:b]), b"\n".join(own)), 5)))
+            out.append(zip_.compress(pickle.dumps((sub[a:b], count[a:b], b"\n".join(strings[i] for i in order[a:b])), 5)))
         return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate(([0], cut))].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,19 +152,11 @@ def _pack(buckets: int, hot: np.ndarray) -> Callable:
             for a, b in C.chunks(text):
                 part = text.slice(a, b - a).dictionary_encode()  # equal texts once, with their number
                 copies = np.bincount(part.indices.to_numpy(), minlength=len(part.dictionary))
-                w = C.Words(part.dictionary)
-                t, i, n, v = _super_kmers(w, hot)
+                t, _, v, strings = _strings(part.dictionary, hot)
                 if not len(t):
                     continue
-                flat, _, at = _join(w, np.ones(len(w.begin), bool))
-                data, last = flat.tobytes(), i + n + WINDOW - 2
-                stop = at[last] + (w.end - w.begin)[last]
-                strings = [data[x:y] for x, y in zip(at[i].tolist(), stop.tolist(), strict=True)]
-                keys = _keys(part.dictionary)
-                bucket = (v % np.uint64(buckets)).astype(np.int64)
-                sub = (v >> np.uint64(40)).astype(np.uint16)
-                rows.append((bucket, sub, (i - w.first[t]).astype(np.int32), copies[t].astype(np.int32), strings, [keys[x] for x in t.tolist()]))
-                size += int((stop - at[i]).sum())
+                rows.append(((v % np.uint64(buckets)).astype(np.int64), (v >> np.uint64(40)).astype(np.uint16), copies[t], strings))
+                size += sum(map(len, strings))
                 if size >= GATHER:
                     yield flush(rows)
                     rows, size = [], 0
@@ -154,6 +166,26 @@ def _pack(buckets: int, hot: np.ndarray) -> Callable:
     return run
 
 
+def _places(groups: int, hot: np.ndarray) -> Callable:
+    """Every place of a super-k-mer: the digest (x, y) of its string, the group and key of the text, the first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = C.plain_text(batch.column(0))
+            for a, b in C.chunks(text):
+                texts = text.slice(a, b - a).unique()
+                t, start, _, strings = _strings(texts, hot)
+                if not len(t):
+                    continue
+                keys = _keys(texts)
+                group = np.array([int.from_bytes(k[:4], "little") % groups for k in keys], np.int32)
+                d = _digests(strings)
+                columns = [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), group[t]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys, pa.binary()).take(pa.array(t)), pa.array(start.astype(np.int32))], ["x", "y", "g", "k", "f"])
+
+    return run
+
+
 def _repeated(packed: pa.Array, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, window in it) of the windows found twice or more among distinct strings with copies."""
     w = C.Words(packed)
@@ -181,42 +213,29 @@ def _repeated(packed: pa.Array, copies: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[hit], (idx - w.first[owner])[hit]
 
 
-def _count(groups: int) -> Callable:
+def _count() -> Callable:
+    """Runs of repeated windows (first and last) in each distinct packed string, by its digest."""
+
     def solve(payloads: list[bytes], raw: int) -> Iterator[pa.RecordBatch]:
         parts = raw // UNPACK + 1
         for part in range(parts):
-            starts, counts, keys, strings = [], [], [], []
+            copies: dict[bytes, int] = defaultdict(int)
             for p in payloads:
-                sub, start, count, key, blob = pickle.loads(zstandard.ZstdDecompressor().decompress(p))
-                use = np.flatnonzero(sub % parts == part)
-                own = blob.split(b"\n")
-                starts.append(start[use])
-                counts.append(count[use])
-                strings += [own[i] for i in use.tolist()]
-                keys.append(np.frombuffer(key, f"V{KEY}")[use])
-            if not strings:
+                sub, count, blob = pickle.loads(zstandard.ZstdDecompressor().decompress(p))
+                own, use = blob.split(b"\n"), np.flatnonzero(sub % parts == part)
+                for i, c in zip(use.tolist(), count[use].tolist(), strict=True):
+                    copies[own[i]] += c
+            if not copies:
                 continue
-            d = pa.array(strings, pa.binary()).dictionary_encode()
-            start, key, code = np.concatenate(starts), np.concatenate(keys), d.indices.to_numpy()
-            distinct = d.dictionary.cast(pa.large_binary()).view(pa.large_string())
-            owner, window = _repeated(distinct, np.bincount(code, np.concatenate(counts), len(distinct)).astype(np.int64))
+            strings = list(copies)
+            owner, window = _repeated(pa.array(strings, pa.large_binary()).view(pa.large_string()), np.array(list(copies.values()), np.int64))
             if not len(owner):
                 continue
-            # Runs of repeated windows in each distinct string, then every place where the string stands.
             new = np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(window) != 1)))
             lo, hi, own = window[new], window[np.append(new[1:], True)], owner[new]
-            runs = np.bincount(own, minlength=len(distinct))
-            base = np.concatenate(([0], np.cumsum(runs)))[:-1]
-            n = runs[code]
-            at, place = C.ranges(base[code], n), np.repeat(np.arange(len(code)), n)
-            out = np.zeros(len(at), [("k", f"V{KEY}"), ("f", "<i4"), ("t", "<i4")])
-            out["k"], out["f"], out["t"] = key[place], start[place] + lo[at], start[place] + hi[at] + WINDOW
-            rows = sorted(set(out.tobytes()[i : i + KEY + 8] for i in range(0, len(out) * (KEY + 8), KEY + 8)))  # equal texts of several blocks
-            out = np.frombuffer(b"".join(rows), out.dtype)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((np.ascontiguousarray(out["k"]).view("u1").reshape(-1, KEY)[:, :4].copy().view("<u4")[:, 0] % groups).astype(np.int32)), pa.array([0] * len(out), pa.int32()), pa.array([x[:KEY] for x in rows], pa.binary()), pa.array(out["f"].copy()), pa.array(out["t"].copy()), pa.nulls(len(out), pa.binary())],
-                ["g", "kind", "k", "f", "t", "payload"],
-            )
+            d = _digests([strings[i] for i in own.tolist()])
+            columns = [np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), lo.astype(np.int32), hi.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["x", "y", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
@@ -274,7 +293,7 @@ def _block(text_at: int, groups: int) -> Callable:
 
 def _apply(text_at: int, names: list[str], keep: list[int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[bytes, set[tuple[int, int]]] = defaultdict(set)  # equal texts of several chunks have equal ranges
         now = None
         for batch in batches:
             g, kind, k, f, t = (batch.column(i).to_pylist() for i in range(5))
@@ -283,7 +302,7 @@ def _apply(text_at: int, names: list[str], keep: list[int]) -> Callable:
                     now = g[i]
                     found.clear()
                 if kind[i] == 0:
-                    found[k[i]].append((f[i], t[i]))
+                    found[k[i]].add((f[i], t[i]))
                     continue
                 block = zstandard.ZstdDecompressor().decompress(batch.column(5)[i].as_py())
                 for part in pa.ipc.open_stream(block):
@@ -321,8 +340,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hot = frequent_seeds(texts)
     packed = texts.mapInArrow(C.released(_pack(16 * p, hot)), "bucket int, payload binary")
     packed = packed.repartition(p, "bucket").sortWithinPartitions("bucket")
+    runs = C.store(packed.mapInArrow(C.released(_count()), "x long, y long, lo int, hi int"), "runs")
+    places = texts.mapInArrow(C.released(_places(4 * p, hot)), "x long, y long, g int, k binary, f int")
+    places = C.flagged(places, F.col("x"), runs.select(F.col("x").alias("k")), "maybe").where("maybe").drop("maybe")
+    found = places.join(runs, ["x", "y"]).select("g", F.lit(0).alias("kind"), "k", (F.col("f") + F.col("lo")).alias("f"), (F.col("f") + F.col("hi") + WINDOW).alias("t"), F.lit(None).cast("binary").alias("payload"))
     shape = "g int, kind int, k binary, f int, t int, payload binary"
-    found = packed.mapInArrow(C.released(_count(4 * p)), shape)
     blocks = docs.mapInArrow(C.released(_block(docs.columns.index(text_col), 4 * p)), shape)
     keep = [i for i, c in enumerate(docs.columns) if c not in (text_col, "n_words", "n_removed")]
     fields = [docs.schema[i] for i in keep] + [T.StructField(text_col, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
