@@ -46,9 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the words that a repeated window of 35 words covers; no document goes."""
+    """Texts lose the words that a repeated window of 35 words covers; the others stay as they are, no document goes."""
     prepare(spark)
-    return _with_length(_restored(repeats.remove_repeats(_carried(docs)), docs.columns), docs.columns)
+    return _with_length(_restored(repeats.remove_repeats(_carried(docs), as_is=True), docs.columns), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

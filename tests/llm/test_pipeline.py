@@ -66,6 +66,12 @@ def test_one_copy_of_a_repeated_row_reaches_the_last_stage(spark, sf_dir):
     assert {r.doc_id for r in seen["sentence_pieces"].collect()} == {None, 10**9}
 
 
+def test_substring_dedup_keeps_the_breaks_of_whole_texts(spark):
+    text = "One line.\n\n\tAnother  line. "
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()] == [(1, text, len(text))]
+
+
 def test_empty_labels_keep_all_documents(spark, tmp_path):
     docs = odd_docs(common.prepare(spark))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

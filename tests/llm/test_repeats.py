@@ -93,5 +93,15 @@ def test_odd_rows_and_clashing_columns(spark):
     assert {r.g for r in got} == {"mine"}
 
 
+def test_texts_that_lose_nothing_stay_as_they_are(spark):
+    rng = random.Random(12)
+    twice = prose(rng, 40, 10_000)
+    whole = ["a  b\tc\n\nd ", "\n" + "\t".join(prose(rng, 50, 10_000)) + "  ", "", " ", None, "é\r\n中"]
+    cut = ["x\n" + "\t".join(twice) + "  y", " ".join(twice) + "\nz"]
+    docs = common.prepare(spark).createDataFrame(list(enumerate(whole + cut)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in repeats.remove_repeats(docs, as_is=True).collect()}
+    assert [got[i] for i in range(len(whole) + 2)] == [*whole, "x y", "z"]
+
+
 def test_no_rows(spark):
     assert repeats.remove_repeats(no_docs(spark)).count() == 0

@@ -291,7 +291,7 @@ def _block(text_at: int, groups: int) -> Callable:
     return run
 
 
-def _apply(text_at: int, names: list[str], keep: list[int]) -> Callable:
+def _apply(text_at: int, names: list[str], keep: list[int], as_is: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, set[tuple[int, int]]] = defaultdict(set)  # equal texts of several chunks have equal ranges
         now = None
@@ -318,6 +318,8 @@ def _apply(text_at: int, names: list[str], keep: list[int]) -> Callable:
                         gone[j] = w.first[j + 1] - base - np.count_nonzero(stay[base : w.first[j + 1]])
                     flat, off, _ = _join(w, stay)
                     kept = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(flat.tobytes())).cast(pa.string())
+                    if as_is:
+                        kept = pa.compute.if_else(pa.array(gone == 0), texts.cast(pa.string()), kept)
                     if not len(texts):  # NULL texts only
                         kept, counts, gone = pa.array([""]), np.zeros(1, np.int64), np.zeros(1, np.int64)
                     else:
@@ -331,9 +333,9 @@ def _apply(text_at: int, names: list[str], keep: list[int]) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", as_is: bool = False) -> DataFrame:
     """docs with the words of text_col that no repeated window covers, joined by single spaces, and the
-    counts n_words and n_removed."""
+    counts n_words and n_removed. With as_is, texts that lose nothing stay as they are."""
     spark = docs.sparkSession
     p = C.partitions(spark)
     texts = docs.select(text_col)
@@ -350,4 +352,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     fields = [docs.schema[i] for i in keep] + [T.StructField(text_col, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     schema = T.StructType(fields)
     both = found.union(blocks).repartition(p, "g").sortWithinPartitions("g", "kind")
-    return both.mapInArrow(C.released(_apply(docs.columns.index(text_col), schema.names, keep)), schema)
+    return both.mapInArrow(C.released(_apply(docs.columns.index(text_col), schema.names, keep, as_is)), schema)
