@@ -100,6 +100,26 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert all(got[i].kept for i in range(400)) and not any(got[1000 + i].kept for i in range(20))
 
 
+def test_slightly_damaged_texts_go(spark):
+    """One word of sixty is jumbled: beyond the border, but not far from it."""
+    rng = random.Random(11)
+    vocabulary = ["the", "old", "house", "stood", "near", "a", "green", "river"]
+
+    def say(jumbled=0):
+        w = [rng.choice(vocabulary) for _ in range(60)]
+        for i in rng.sample(range(60), jumbled):
+            w[i] = "".join(rng.sample(w[i] + "eaotn", len(w[i])))
+        return " ".join(w)
+
+    rows = [(i, say(), "en") for i in range(1600)] + [(2000 + i, say(1), "en") for i in range(40)]
+    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1500)], "doc_id long, quality int")
+    kept = {r.doc_id for r in kneser_ney.classify(docs, labels).collect() if r.kept}
+    assert len([i for i in kept if i < 1600]) >= 0.98 * 1600
+    gone = 40 - len([i for i in kept if i >= 2000])
+    assert gone >= 0.7 * 40, gone
+
+
 def test_odd_rows(spark):
     docs = odd_docs(common.prepare(spark))
     labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")

@@ -11,9 +11,11 @@ entries; each is broadcast and gives every text the sum over the positions that
 the sums are added by row. Texts are never shuffled for it, and what a broadcast holds has a fixed size
 however large the model grows.
 
-A text's perplexity is compared with its language's threshold, from the quantiles of trusted texts that the
-model has not seen (one in `UNSEEN`): in logarithms, the median plus `SPREAD` times the distance from the
-median to the 95th percentile. Languages with fewer than `LEAST_TEXTS` such texts take the quantiles of all.
+A text's perplexity is compared with its language's threshold, from trusted texts that the model has not seen
+(one in `UNSEEN`): in logarithms, the median plus `SPREAD` times the distance from the median to the 95th
+percentile, that distance taken 3 / sqrt(n) larger for n such texts, about two standard errors of its estimate.
+This is no quantile: it lies 3.3 standard deviations above the middle of many normal values, more of few.
+Languages with fewer than `LEAST_TEXTS` such texts take the quantiles of all.
 
 Nulls: a NULL, empty or shorter text than `LEAST_CHARS` characters has a perplexity (NULL without
 characters) and is kept. Labels that are NULL or have no id trust nothing; without trusted texts all are
@@ -35,7 +37,7 @@ from turnstile.llm import common as C
 
 ORDER, BITS = 5, 12
 ENTRIES = 3_000_000
-UNSEEN, SPREAD, LEAST_TEXTS, LEAST_CHARS = 8, 4.0, 20, 100
+UNSEEN, SPREAD, LEAST_TEXTS, LEAST_CHARS = 8, 2.0, 20, 100
 #: Distinct n-grams that a task gathers before it merges them.
 GATHER = 3_000_000
 _MASK = (1 << BITS) - 1
@@ -248,7 +250,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     scores = scores.withColumn("bits", -F.col("mean"))
     sample = scores.join(trusted.where(unseen("k")), F.col("id") == F.col("k"), "left_semi").where(f"n >= {LEAST_CHARS}")
     quantiles = F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(0.95)), F.lit(10_000))
-    level = (F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("level")
+    level = (F.col("q")[0] + SPREAD * (1 + 3 / F.sqrt("c")) * (F.col("q")[1] - F.col("q")[0])).alias("level")
     by_lang = sample.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("c"), quantiles.alias("q")).where((F.col("c") >= LEAST_TEXTS) & F.col("l").isNotNull()).select("l", level)
     of_all = sample.agg(F.count("*").alias("c"), quantiles.alias("q")).select(F.when(F.col("c") >= LEAST_TEXTS, level).alias("any"))
     out = scores.join(by_lang, F.col("lang") == F.col("l"), "left").join(F.broadcast(of_all), F.lit(True))  # one row
