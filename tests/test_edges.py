@@ -366,6 +366,19 @@ def test_invitations(spark, shop):
     assert got == ["OTHER_RECIPIENT", "JOINED", "INVALID_OR_EXPIRED", "INVALID_OR_EXPIRED", "INVALID_OR_EXPIRED"]
     now, marked = access.accept_invitations(taken, out, org, members)
     assert now.filter("organizer_id = 2").first().role == "MARKETER" and marked.first().accepted_at == at(4)
+    assert sorted(r.id for r in now.collect()) == [1, 2]
+
+
+def test_ids_of_new_members(spark, shop):
+    _, ev, _, _ = shop
+    members = members_of(spark, [(7, 1, 1, "ADMIN")])
+    for kind, first, new in (("bigint", 7, [8, 9]), ("int", 7, [8, 9]), ("decimal(20,0)", 7, [8, 9]), ("string", "7", ["2-1", "3-1"])):
+        got = access.backfill_owners(ev, members.withColumn("id", F.col("id").cast(kind)))
+        rows = {r.event_id: r for r in got.collect()}
+        assert (rows[1].id, rows[1].role) == (first, "ADMIN") and [(rows[e].id, rows[e].role) for e in (2, 3)] == [(n, "OWNER") for n in new]
+        assert dict(got.dtypes)["id"] == kind
+    none = access.backfill_owners(ev, members.limit(0))
+    assert sorted(r.id for r in none.collect()) == [1, 2, 3]
 
 
 def test_appending_checks_keys_and_fills_defaults(spark):

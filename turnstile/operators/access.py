@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
+from turnstile.functions.ranking import running_rank
 from turnstile.schemas import INVITED_ROLES
 
 # Permissions of each role.
@@ -165,10 +166,19 @@ def accept_invitations(
 
 
 def _with_new_members(members: DataFrame, new: DataFrame) -> DataFrame:
-    """The whole table of members with new rows; a new id follows from the pair."""
-    pair = F.concat_ws("-", F.col("event_id").cast("string"), F.col("organizer_id").cast("string"))
+    """The whole table of members with new rows, one per (event, person).
+
+    A text id is the pair itself; whole-number ids go on after the largest one, in the order of the pairs.
+    """
     kinds = dict(members.dtypes)
-    own = new.withColumn("id", pair.cast(kinds["id"]) if "id" in kinds else pair)
+    kind = kinds.get("id", "string")
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        last = members.agg(F.max("id")).first()[0] or 0
+        pairs = running_rank(new.select("event_id", "organizer_id"), [], ["event_id", "organizer_id"], "_rank")
+        own = new.join(pairs, ["event_id", "organizer_id"]).withColumn("id", F.col("_rank") + F.lit(last))
+    else:
+        pair = F.concat_ws("-", F.col("event_id").cast("string"), F.col("organizer_id").cast("string"))
+        own = new.withColumn("id", pair)
     given = set(own.columns)
     cols = [(F.col(c) if c in given else F.lit(None)).cast(kinds[c]).alias(c) for c in members.columns]
     return members.unionByName(own.select(*cols))
