@@ -157,3 +157,21 @@ def op1_kneser_ney_quality(spark, sf_dir):
     from turnstile.llm import kneser_ney
 
     return kneser_ney.classify(documents(spark, sf_dir), C.read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_turn_repair(spark, sf_dir):
+    from turnstile.llm import turn_repair
+
+    turns = C.read_table(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.damaged(turns), turns)
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    from turnstile.llm import language_id
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs.where(~held).select("text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
