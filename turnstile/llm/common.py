@@ -159,6 +159,14 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:n]) * down[:n])
 
 
+def spans(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the codes (uint64, above 0) from each start to its end."""
+    up, down = _words.get(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes) * up[: len(codes)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of all ranges, one after the other."""
     total = int(lengths.sum())

@@ -159,6 +159,13 @@ def op1_kneser_ney_quality(spark, sf_dir):
     return kneser_ney.classify(documents(spark, sf_dir), C.read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    from turnstile.llm import token_alignment
+
+    return token_alignment.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).documents
+
+
 @query
 def op12_turn_repair(spark, sf_dir):
     from turnstile.llm import turn_repair
