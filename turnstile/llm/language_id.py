@@ -194,9 +194,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     df[list(found)] = list(found.values())
     idf = np.log((1 + n) / (1 + df)) + 1
     keys = rows.select("lang", "h").distinct()
-    common = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picks = keys.join(F.broadcast(common), "lang").withColumn("_place", place).where(F.col("_place") <= SAMPLE).drop("_place")
+    common = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # Of a common language the least hashes are cut out first: about twice SAMPLE are left to rank.
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    near = keys.join(F.broadcast(common), "lang").withColumn("_share", share).where(F.col("_share") * F.col("count") < 2 * SAMPLE)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_share", "h"))
+    picks = near.withColumn("_place", place).where(F.col("_place") <= SAMPLE).select("lang", "h")
     sample = rows.join(F.broadcast(picks), ["lang", "h"], "left_semi")  # at most LANGUAGES * SAMPLE pairs
     vectors = sample.select("lang", "h", "text").mapInArrow(C.released(_vectors(idf)), "lang string, h long, slots array<int>, weights array<float>")
     vectors = vectors.groupBy("lang", "h").agg(F.first("slots").alias("slots"), F.first("weights").alias("weights"))
