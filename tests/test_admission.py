@@ -210,3 +210,18 @@ def test_promo_code_blanks_matter_in_public_mode(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         admit_registrations(None, None, None, None, mode="other")
+
+
+def test_no_round_unless_an_event_exceeds_a_slice(spark, sf_dir, monkeypatch):
+    """Whole events are decided by the sorted pass alone; one event above a slice is settled in rounds."""
+    from turnstile.plans.catalog import QUERIES
+    from turnstile.sources.fixtures import load
+
+    rounds = []
+    settle = admission._settle
+    monkeypatch.setattr(admission, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    assert QUERIES["admit_registrations_public"](load(spark, sf_dir)).count() > 0 and not rounds
+    case = random_case(5, 40)
+    ev, tt, promo, req, reg = frames(spark, case)
+    admit_registrations(req, ev, tt, promo, reg, "public", slice_rows=10).count()
+    assert rounds

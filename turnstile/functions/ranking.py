@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,9 +73,34 @@ def slice_counts(
     )
 
 
+def oversized(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
+    """The keys with more than ``rows`` rows and how many they have (``_n``), or None if there is none. Counted
+    with map-side combine; there is at most one such key for every ``rows`` rows of ``df``."""
+    large = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows))
+    return None if large.isEmpty() else large
+
+
+def parted(df: DataFrame, keys: list[str], large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of all other keys, and rows of the keys in ``large``."""
+    marks = large.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_large"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    marked = df.join(marks, same, "left")
+    return tuple(marked.filter(cond).select(*df.columns) for cond in (F.col("_large").isNull(), F.col("_large")))
+
+
 def running_rank(df: DataFrame, keys: list[str], order: list[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Exact ``row_number`` over (keys, order), counted in slices of about ``slice_rows`` rows, so no task
-    ranks more than a slice of any key. ``order`` must be total within a key."""
-    split = sliced(df, [*keys, *order], slice_rows, df.count())
-    ranked = slice_counts(split, keys, order, {name: F.lit(1)}).drop("_slice")
-    return ranked.withColumn(name, F.col(name) + 1)
+    """Exact ``row_number`` over (keys, order). Keys of more than ``slice_rows`` rows are counted in slices of about
+    so many, so no task ranks more than a slice of any key. ``order`` must be total within a key."""
+
+    def in_slices(rows: DataFrame, n: int) -> DataFrame:
+        ranked = slice_counts(sliced(rows, [*keys, *order], slice_rows, n), keys, order, {name: F.lit(1)}).drop("_slice")
+        return ranked.withColumn(name, F.col(name) + 1)
+
+    if not keys:
+        return in_slices(df, df.count())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    large = oversized(df.select(*keys), keys, slice_rows)
+    if large is None:
+        return df.withColumn(name, place)
+    rest, hot = parted(df, keys, large)
+    return rest.withColumn(name, place).unionByName(in_slices(hot, large.agg(F.sum("_n")).first()[0]))
