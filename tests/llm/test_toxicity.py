@@ -60,14 +60,67 @@ def kernel(s, t, lam=toxicity.DECAY, n=toxicity.ORDER):
 
 
 def test_kernels_equal_all_subsequences():
-    names = ["^idiot$", "^id-iot$", "^banana$", "^aaaa$", "abc", "^i$"]
-    alphabet = np.sort(np.array([ord(c) for c in "^$-abcdint" + "o"], np.uint32))
-    land = toxicity.Landmarks(names, alphabet)
-    got = land.kernels(names)
-    for i, s in enumerate(names):
-        for j, t in enumerate(names):
-            want = kernel(s, t) / (kernel(s, s) * kernel(t, t)) ** 0.5
-            assert abs(got[i, j] - want) < 1e-3, (s, t)
+    names = ["^idiot$", "^id-iot$", "^banana$", "^aaaa$", "abc", "^i$", "^дурак$", "^ду_рак$", "^漢字仮名$"]
+    land = toxicity.Landmarks(names)
+    got, powers = land.likeness(names), land.kernels(names)
+    others = ["^idiot$", "^дурачок$", "^漢字$", "zzz", "^кот$"]  # characters that no landmark has match nothing
+    more = toxicity.Landmarks(names).likeness(others)
+    for rows, values in ((names, got), (others, more)):
+        for i, s in enumerate(rows):
+            for j, t in enumerate(names):
+                want = kernel(s, t) / (kernel(s, s) * kernel(t, t)) ** 0.5
+                assert abs(values[i, j] - want) < 1e-3, (s, t)
+    assert np.allclose(powers, got**toxicity.POWER)
+
+
+def test_two_inserted_letters_and_figures(model):
+    rng = random.Random(9)
+    for rude in ("1d10t", "m0r0n 5cum", "idxioqt morzonv scuwqm worthlebss pathetkic", "w0rthle55 p4thetic"):
+        assert model.score(pa.array([said(rng) + " " + rude], pa.large_string()))[0] >= toxicity.THRESHOLD, rude
+
+
+def test_fragments_of_units():
+    names = ["^ab$", "^abc$", "^lowei$", "^loweischaft$"]
+    hashes, of = toxicity.fragments(names)
+    by = {n: set(hashes[of == i].tolist()) for i, n in enumerate(names)}
+    assert len(by["^ab$"]) == 1 and len(by["^abc$"]) == 2
+    # Runs of five and openings of six (^lowe, lowei, owei$; ^lowei), and the whole.
+    shared = by["^lowei$"] & by["^loweischaft$"]
+    assert len(shared) == 3 and len(by["^lowei$"]) == 5
+    again, _ = toxicity.fragments(["x", "^loweiung$", ""])
+    assert shared <= set(again.tolist())
+
+
+def test_discoveries():
+    assert toxicity.discovered([], 10) == {}
+    assert toxicity.discovered([(1, 50.0), (2, 1.0)], 1000) == {1: 50.0}
+    # As many of one strength as there are prove each other.
+    assert len(toxicity.discovered([(i, 14.0) for i in range(200)], 100_000)) == 200
+    assert toxicity.discovered([(1, 14.0)], 100_000) == {}
+
+
+def test_evidence_equals_plain_counts(spark, corpus, monkeypatch):
+    rows = spark.createDataFrame([(i, t, x) for i, x, t in corpus], "h long, toxic int, text string")
+    got = toxicity.evidence(rows)
+    n = [0, 0]
+    counts = {}
+    for _, x, t in corpus:
+        n[t] += 1
+        for h in set(toxicity.fragments(toxicity._pieces(toxicity.units(pa.array([x], pa.large_string()))[0])[0])[0].tolist()):
+            counts.setdefault(h, [0, 0])[t] += 1
+
+    def ratio(b, a):
+        from math import log
+
+        def part(k, m, p):
+            return (k * log(p) if k else 0) + ((m - k) * log(1 - p) if m - k else 0)
+
+        p = (a + b) / sum(n)
+        return 2 * (part(a, n[1], a / n[1]) + part(b, n[0], b / n[0]) - part(a, n[1], p) - part(b, n[0], p))
+
+    some = sorted(((ratio(b, a), h) for h, (b, a) in counts.items() if a >= toxicity.SUPPORT and a / n[1] > 8 * b / n[0]), reverse=True)
+    want = toxicity.discovered([(h, r) for r, h in some], sum(a > 0 for _, a in counts.values()))
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-6 for h in got)
 
 
 def test_odd_rows(spark, model):
