@@ -280,7 +280,8 @@ def test_labels_and_slugs(spark):
     assert value(spark, X.location_label(F.lit("Akwa"), F.lit("Douala"))) == "Akwa, Douala"
     assert value(spark, X.location_label(F.lit(None), F.lit(None))) == ""
     assert value(spark, X.first_given(F.lit(""), F.lit("http://x"))) == "http://x"
-    assert value(spark, X.slug_base(F.lit(" Été à  Paris & co! "))) == "ete-a-paris-co"
+    assert value(spark, X.slug_base(F.lit(" Été à  Paris & co! "))) == "ete-a-paris-et-co"
+    assert value(spark, X.slug_base(F.lit("Cœur Łódź, Straße Ærø – Hő Ðại 100%"))) == "coeur-lodz-strasse-aero-ho-dai-100pourcent"
     assert value(spark, R.export_label(F.lit("Grand  Soir"))) == "grand-soir"
 
 
@@ -487,3 +488,34 @@ def test_tables_survive_files(spark, shop, tmp_path):
     sinks.write_table(tt, str(tmp_path / "by"), by=["event_id"], order=["id"])
     assert spark.read.parquet(str(tmp_path / "by")).count() == 3
     assert json.loads(sinks.as_documents(tt, ["id"]).orderBy("id").first().document)["name"] == "Std"
+
+
+def test_cascade_over_any_references(spark):
+    """Three levels, a cycle and a reference to a column that is no id."""
+    rows = lambda data, cols: spark.createDataFrame(data, cols)
+    tables = {
+        "a": rows([(1, 20), (2, None), (3, 10)], "id int, b_id int"),
+        "b": rows([(10, 1, "x"), (20, 1, "y"), (30, 2, "z")], "id int, a_id int, code string"),
+        "c": rows([("p", "x", None), ("q", "z", 10), ("r", None, 30)], "id string, b_code string, keeper int"),
+    }
+    cascading = [("b", "a_id", "a", "id"), ("a", "b_id", "b", "id"), ("c", "b_code", "b", "code")]
+    start = rows([("a", "3")], "table_name string, row_key string")
+    assert {tuple(r) for r in changes.cascade_closure(tables, start, cascading).collect()} == {("a", "3")}
+    start = rows([("a", "1"), ("a", "1")], "table_name string, row_key string")
+    gone = changes.cascade_closure(tables, start, cascading)
+    # a 1 takes b 10 and 20 along; these take a 3 and a 1 again; b 10 takes c p.
+    assert sorted(tuple(r) for r in gone.collect()) == [("a", "1"), ("a", "3"), ("b", "10"), ("b", "20"), ("c", "p")]
+    blockers = changes.cascade_blockers(tables, gone, [("c", "keeper", "b", "id")])
+    assert [tuple(r) for r in blockers.collect()] == [("c", "keeper", "q")]
+    left = {n: sorted(r.id for r in df.collect()) for n, df in changes.without_rows(tables, gone).items()}
+    assert left == {"a": [2], "b": [30], "c": ["q", "r"]}
+    assert changes.cascade_closure(tables, start.limit(0), cascading).count() == 0
+
+
+def test_chains_of_payments(spark):
+    """Attempts just under the limit follow each other, one at the limit opens a new chain."""
+    minute = lambda m, s=0: T0 + dt.timedelta(minutes=m, seconds=s)
+    rows = [("r", "a", minute(0), "PENDING", 1), ("r", "b", minute(29, 59), "FAILED", 2), ("r", "c", minute(59, 59), "PENDING", 4), ("r", "d", minute(59, 59), "PENDING", 8), ("s", "e", minute(3), "PENDING", 16), ("s", "f", None, "PENDING", 32)]
+    tx = spark.createDataFrame(rows, "registration_id string, transaction_id string, created_at timestamp_ntz, status string, amount int")
+    got = {(r.registration_id, r.chain): (r.attempts, r.pending, int(r.amount), r.last_at) for r in payments.payment_chains(tx).collect()}
+    assert got == {("r", 1): (2, 1, 3, minute(29, 59)), ("r", 2): (2, 2, 12, minute(59, 59)), ("s", 1): (1, 1, 16, minute(3))}

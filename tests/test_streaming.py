@@ -1,16 +1,18 @@
 """A stream cut into micro-batches must give what the batch operator gives."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tests.brute import admit
 from tests.test_admission import EV, PROMO, REG, REQ, TT, random_case, rows
-from turnstile.operators import checkin, payments
+from turnstile.operators import changes, checkin, payments
 from turnstile.plans.catalog import replay_start, unchecked
 from turnstile.sources.fixtures import load
-from turnstile.streaming import jobs
+from turnstile.streaming import jobs, keyed
 from turnstile.streaming.tables import BatchState, newest
 
 
@@ -147,3 +149,92 @@ def test_state_is_the_same_when_a_batch_runs_again(spark, tmp_path):
             state.write(spark.createDataFrame([(n,)], schema), n)
     assert seen == [list(range(n)) for n in range(5) for _ in range(2)]
     assert sorted(r.x for r in state.close(4).collect()) == [0, 1, 2, 3, 4]
+
+
+def sequential_windows(hits, limits):
+    """client, limiter, start -> requests, one client after the other in order of time."""
+    out = {}
+    for limiter, (minutes, _) in limits.items():
+        opened = {}
+        for client, kind, ts in sorted(hits, key=lambda h: h[2]):
+            if limiter not in ("global", kind):
+                continue
+            if client not in opened or ts >= opened[client] + dt.timedelta(minutes=minutes):
+                opened[client] = ts
+            at = (client, limiter, opened[client])
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_windows_open_at_the_first_request(spark):
+    rng = random.Random(6)
+    t0 = dt.datetime(1970, 1, 1, 0, 0)  # times before the epoch as well
+    hits = [(c, rng.choice(["auth", "registration", "global"]), t0 + dt.timedelta(seconds=rng.randrange(-9000, 9000 * (1 + c)))) for c in range(4) for _ in range(150)]
+    hits += [(9, "auth", t0 + dt.timedelta(minutes=15 * i)) for i in range(70)]  # each opens a window, just on the border
+    hits += [(10, "auth", t0)] * 30 + [(11, "auth", t0 + dt.timedelta(days=400 * i)) for i in range(3)]
+    log = spark.createDataFrame(hits, "client int, limiter string, ts timestamp_ntz")
+    want = sequential_windows(hits, jobs.LIMITS)
+    got = {(r.client, r.limiter, r.window_start): r.requests for r in jobs.client_windows(log).collect()}
+    assert got == want
+    above = {(r.client, r.limiter, r.window_start): r.requests for r in jobs.client_rate_violations(log).collect()}
+    assert above == {k: n for k, n in want.items() if n > jobs.LIMITS[k[1]][1]} and above
+    assert jobs.client_windows(log.limit(0)).count() == 0
+    nothing = spark.createDataFrame([(1, "auth", None)], "client int, limiter string, ts timestamp_ntz")
+    assert jobs.client_windows(nothing).count() == 0
+
+
+def test_openings_take_a_logarithm_of_rounds(spark, monkeypatch):
+    """A chain of 300 windows is followed in 9 doublings."""
+    rounds = []
+    cut = jobs.cut_lineage
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    hits = spark.range(300).select(F.lit(1).alias("key"), F.lit(10).cast("long").alias("size"), (F.col("id") * 10).alias("at"))
+    assert jobs.window_openings(hits).count() == 300
+    assert len(rounds) <= 3 + 2 * 9
+
+
+def test_change_feed_and_signed_days(spark, tmp_path):
+    schema = "id int, event_id int, status string, amount_paid decimal(12,2), created_at timestamp_ntz"
+    day = dt.datetime(2000, 1, 1)
+    before = spark.createDataFrame([(1, 1, "CONFIRMED", 10, day), (2, 1, "PENDING", 5, day), (3, 1, "CONFIRMED", 7, day), (4, 1, "CONFIRMED", None, day + dt.timedelta(days=1))], schema.replace("decimal(12,2)", "int"))
+    after = spark.createDataFrame([(1, 1, "CANCELLED", 10, day), (2, 1, "PENDING", 5, day), (3, 1, "CONFIRMED", 7, day + dt.timedelta(days=2)), (5, 1, "MANUAL", 3, day)], schema.replace("decimal(12,2)", "int"))
+    before, after = (t.withColumn("amount_paid", F.col("amount_paid").cast("decimal(12,2)")) for t in (before, after))
+    feed = changes.change_feed(before, after)
+    got = sorted((r.id, r.sign, r.status) for r in feed.collect())
+    assert got == [(1, -1, "CONFIRMED"), (1, 1, "CANCELLED"), (3, -1, "CONFIRMED"), (3, 1, "CONFIRMED"), (4, -1, "CONFIRMED"), (5, 1, "MANUAL")]
+    ev = spark.createDataFrame([(1, 7)], "id int, organizer_id int")
+    rows = before.withColumn("sign", F.lit(1)).unionByName(feed)
+    # In any order: what is taken off may arrive before what it is taken off from.
+    anyhow = F.pmod(F.xxhash64("id", "sign", "status"), F.lit(3))
+    jobs.stream_daily(as_stream(rows, str(tmp_path / "in"), anyhow, 3), ev, str(tmp_path / "out"), every=2).awaitTermination()
+    days = jobs.daily_so_far(spark, str(tmp_path / "out"), rows.schema, ev).drop("late")
+    assert same(days, jobs.daily_totals(after, ev))
+
+
+@pytest.mark.parametrize("mode", ["public", "organizer"])
+def test_keyed_admissions_in_micro_batches(spark, tmp_path, mode):
+    """However the requests are cut, with registrations there before as the initial state. A batch updates the state
+    of its own requests only."""
+    case = random_case(31, 200)
+    ev, tt, promo, req, reg = [spark.createDataFrame(d, s) for d, s in zip(case, (EV, TT, PROMO, REQ, REG))]
+    slot = F.floor((F.unix_seconds(F.col("requested_at").cast("timestamp")) - 946684800) / (26 * 3600))
+    stream = as_stream(req, str(tmp_path / "in"), slot, 4)
+    query = keyed.stream_admissions(stream, ev, tt, promo, str(tmp_path / "out"), mode, existing=reg, every=2)
+    query.awaitTermination()
+    got = {r.request_id: r.outcome for r in spark.read.parquet(str(tmp_path / "out/outcomes")).collect()}
+    want = admit(*[rows(s, case[i]) for i, s in ((3, REQ), (0, EV), (1, TT), (2, PROMO), (4, REG))], mode)
+    assert got == {k: v[0] for k, v in want.items()}
+    later = [p for p in query.recentProgress if p.numInputRows][1:]
+    assert len(later) > 1 and all(p.stateOperators[0].numRowsUpdated <= 4 * p.numInputRows for p in later)
+
+
+def test_keyed_scans_equal_the_other_path(spark, sf_dir, tmp_path):
+    f = load(spark, sf_dir)
+    some = f.scans.filter("event_id % 5 = 2").cache()
+    slot = F.pmod(F.xxhash64("ticket_code", "scan_ts", "attempt"), F.lit(3))
+    cols = ["ticket_code", "event_id", "scan_ts", "attempt", "result", "registration_id", "ticket_type_name", "event_title", "late"]
+    got = []
+    for name, run in (("a", jobs.stream_scans), ("b", keyed.stream_scans)):
+        run(as_stream(some, str(tmp_path / f"in-{name}"), slot, 3), unchecked(f).filter("event_id % 5 = 2"), f.ticket_types, f.ev, str(tmp_path / name)).awaitTermination()
+        got.append(spark.read.parquet(str(tmp_path / f"{name}/answers")).select(*cols))
+    assert same(*got) and got[0].count() > 0

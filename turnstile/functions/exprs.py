@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,8 +23,23 @@ DEFAULT_FEE_PCT = 5
 MONEY = "decimal(12,2)"
 MONEY_SUM = "decimal(22,2)"
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> tuple[str, str]:
+    """Small Latin letters with marks, and the letters they are without them, by the rules of Unicode."""
+    pairs = {}
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        low = chr(c).lower()
+        base = unicodedata.normalize("NFD", low)[0]
+        if len(low) == 1 and "a" <= base <= "z" and low != base:
+            pairs[low] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+_ACCENTED, _PLAIN = _plain_letters()
+# Letters and signs that a slug spells out, the signs in French.
+_SPELT = {
+    "æ": "ae", "œ": "oe", "ß": "ss", "ø": "o", "ł": "l", "đ": "dj", "ð": "d", "þ": "th", "ı": "i", "&": "et", "%": "pourcent",
+    "€": "euro", "$": "dollar", "£": "livre", "<": "plus petit", ">": "plus grand", "|": "ou",
+}
 
 
 def ts(value) -> Column:
@@ -179,6 +195,8 @@ def json_merge(base: Column, patch: Column) -> Column:
 
 def slug_base(text: Column) -> Column:
     plain = F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    for sign, spelt in _SPELT.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(spelt))
     kept = F.trim(F.regexp_replace(plain, r"[^a-z0-9\s-]", ""))
     return F.regexp_replace(kept, r"[\s-]+", "-")
 

@@ -190,6 +190,69 @@ def cascade_counts(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+# --- cascades over any references ----------------------------------------------------------------
+
+#: (child table, column, parent table, parent column).
+Reference = tuple[str, str, str, str]
+
+
+def declared_references(names, cascading: bool) -> list[Reference]:
+    """The references among the tables that delete their rows with the parent, or those that do not."""
+    return [(name, c, parent, key) for name in names for c, parent, key, cascade in schemas.TABLES[name].references if cascade == cascading and parent in names]
+
+
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+def _referring(tables: dict[str, DataFrame], reference: Reference, lost: DataFrame) -> DataFrame:
+    """(table_name, column_name, row_key) of the rows that refer to the rows ``lost (table_name, row_key)``."""
+    child, column, parent, key = reference
+    gone = lost.filter(F.col("table_name") == parent).select(F.col("row_key").alias("_gone"))
+    if key != "id":
+        gone = tables[parent].select(_text("id").alias("_gone"), _text(key).alias("_key")).join(gone, "_gone").select(F.col("_key").alias("_gone")).distinct()
+    rows = tables[child].filter(F.col(column).isNotNull()).select(_text("id").alias("row_key"), _text(column).alias("_gone"))
+    return rows.join(gone, "_gone", "left_semi").select(F.lit(child).alias("table_name"), F.lit(column).alias("column_name"), "row_key")
+
+
+def cascade_closure(tables: dict[str, DataFrame], start: DataFrame, references: list[Reference] | None = None) -> DataFrame:
+    """All rows ``(table_name, row_key)`` that go with the rows ``start (table_name, row_key)``, these included; the
+    key is the id as text.
+
+    References are followed from the rows found last, a level at a time, until a level finds nothing new: as many
+    rounds as the longest chain of references has rows, also where references form a cycle. ``references`` are the
+    declared cascading ones if not given.
+    """
+    references = declared_references(tables, True) if references is None else references
+    found = [cut_lineage(start.select("table_name", "row_key").distinct())]
+    while True:
+        last = found[-1]
+        parents = {r.table_name for r in last.select("table_name").distinct().collect()}  # names of tables
+        levels = [_referring(tables, r, last) for r in references if r[2] in parents]
+        seen = reduce(DataFrame.unionByName, found)
+        if not levels:
+            return seen
+        new = reduce(DataFrame.unionByName, levels).select("table_name", "row_key").distinct()
+        found.append(cut_lineage(new.join(seen, ["table_name", "row_key"], "left_anti")))
+
+
+def cascade_blockers(tables: dict[str, DataFrame], gone: DataFrame, references: list[Reference] | None = None) -> DataFrame:
+    """Rows ``(table_name, column_name, row_key)`` that stay and refer to rows of ``gone``, by references that do not
+    cascade: while there are any, the rows cannot be deleted."""
+    references = declared_references(tables, False) if references is None else references
+    refer = [_referring(tables, r, gone) for r in references]
+    return reduce(DataFrame.unionByName, refer).join(gone, ["table_name", "row_key"], "left_anti").select("table_name", "column_name", "row_key")
+
+
+def without_rows(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows ``gone (table_name, row_key)``."""
+    out = {}
+    for name, df in tables.items():
+        lost = gone.filter(F.col("table_name") == name).select(F.col("row_key").alias("_gone"))
+        out[name] = df.join(lost, _text("id") == F.col("_gone"), "left_anti")
+    return out
+
+
 def toggle_promos(promo: DataFrame, ev: DataFrame, toggles: DataFrame) -> DataFrame:
     """Promos after toggle requests ``(id, event_id, organizer_id)``; only the event's owner may
     toggle, and an even number of toggles changes nothing."""
@@ -259,3 +322,16 @@ def create_accounts(new: DataFrame, existing: DataFrame, row_id: str, as_of) ->
     rows = assign_slugs(label, "_label", row_id, existing.select(F.col("org_slug").alias("slug")))
     rows = rows.withColumnsRenamed({row_id: "id", "slug": "org_slug"})
     return schemas.conform(rows.withColumns({"created_at": X.ts(as_of), "updated_at": X.ts(as_of)}), schemas.ORGANIZERS)
+
+
+def change_feed(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """What a change-set did to a table, as rows to take off and rows to add: the columns of the table and
+    ``sign``, -1 for the old row of a key that changed or went, 1 for the new one of a key that changed or came.
+    Rows that stayed as they are do not appear; the keys are unique in either table."""
+    columns = before.columns
+    old = before.select(F.col(key).alias("_key"), F.struct(*columns).alias("_old"))
+    new = after.select(F.col(key).alias("_key2"), F.struct(*columns).alias("_new"))
+    both = old.join(new, F.col("_key") == F.col("_key2"), "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    image = lambda row, sign: F.when(F.col(row).isNotNull(), F.struct(F.lit(sign).alias("sign"), F.col(row).alias("row")))
+    images = F.explode(F.array_compact(F.array(image("_old", -1), image("_new", 1))))
+    return both.select(images.alias("i")).select("i.row.*", "i.sign")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
@@ -74,6 +74,26 @@ def pending_duplicates(tx: DataFrame, as_of, minutes: int = 30) -> DataFrame:
     return recent.select("registration_id", "transaction_id", "event_id", "amount", "payment_token", "created_at")
 
 
+def payment_chains(tx: DataFrame, minutes: int = 30) -> DataFrame:
+    """Chains of repeated payments: the attempts of a registration that follow the one before by less than
+    ``minutes``, each of which would have been warned of. One row per chain, also of a single attempt:
+    ``registration_id, chain`` (from 1, by time), first and last attempt, ``attempts``, ``pending`` ones among them and
+    ``amount``, their sum. Attempts of one time are one after the other by transaction id.
+    """
+    by_time = Window.partitionBy("registration_id").orderBy("created_at", "transaction_id")
+    before = F.lag("created_at").over(by_time)
+    opens = before.isNull() | (F.col("created_at") >= before + F.expr(f"INTERVAL '{int(minutes)}' MINUTE"))
+    timed = tx.filter(F.col("created_at").isNotNull()).withColumn("_opens", opens.cast("int"))
+    chained = timed.withColumn("chain", F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return chained.groupBy("registration_id", "chain").agg(
+        F.min("created_at").alias("first_at"),
+        F.max("created_at").alias("last_at"),
+        F.count("*").alias("attempts"),
+        F.count_if(F.col("status") == "PENDING").alias("pending"),
+        F.sum("amount").cast("decimal(22,2)").alias("amount"),
+    )
+
+
 # --- provider notices --------------------------------------------------------------------------
 
 

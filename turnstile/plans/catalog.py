@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -896,6 +897,31 @@ def cascade_blocked(f):
     return changes.blocked_purges(_tables(f), _drafts(f))
 
 
+def _closed_organizers(f):
+    """Organizers who go, and all that goes with them over four levels of references."""
+    tables = {"organizers": f.organizers, **_tables(f)}
+    start = f.organizers.filter("id % 6 = 1").select(F.lit("organizers").alias("table_name"), F.col("id").cast("string").alias("row_key"))
+    return tables, changes.cascade_closure(tables, start)
+
+
+@query
+def cascade_closure(f):
+    return _closed_organizers(f)[1]
+
+
+@query
+def cascade_blockers(f):
+    return changes.cascade_blockers(*_closed_organizers(f))
+
+
+@query
+def cascade_rows_left(f):
+    """Rows of each table after the cascade."""
+    left = changes.without_rows(*_closed_organizers(f))
+    counts = [df.agg(F.count("*").alias("rows_after")).select(F.lit(name).alias("table_name"), "rows_after") for name, df in left.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def toggle_promos(f):
     """Each use of a code toggles it, asked for by the event's owner or, for odd codes, by others."""

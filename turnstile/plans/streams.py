@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.operators import payments
-from turnstile.plans.catalog import SITE, query, replay_start, start_state, unchecked
+from turnstile.functions import exprs as X
+from turnstile.operators import changes, payments, registrations
+from turnstile.plans.catalog import AS_OF, SITE, _cancels, _confirmations, query, replay_start, start_state, unchecked
 from turnstile.session import scratch_path
 from turnstile.sources.fixtures import Fixtures
-from turnstile.streaming import jobs
+from turnstile.streaming import jobs, keyed
 from turnstile.streaming.tables import newest
 
 # The log is sparse: a few requests per client and day.
@@ -83,6 +84,23 @@ def stream_admissions(f):
     return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
 
 
+@query
+def stream_admissions_keyed(f):
+    """As stream_admissions, with state per event in the state store."""
+    tt, promo = start_state(f)
+    path = scratch_path(f.spark, "keyed-admissions")
+    keyed.stream_admissions(_live(f, "requests"), f.ev, tt, promo, path).awaitTermination()
+    return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
+
+
+@query
+def stream_scans_keyed(f):
+    """As stream_scans, with state per event in the state store."""
+    path = scratch_path(f.spark, "keyed-scans")
+    keyed.stream_scans(_live(f, "scans"), unchecked(f), f.ticket_types, f.ev, path).awaitTermination()
+    return f.spark.read.parquet(f"{path}/answers").select("ticket_code", "event_id", "scan_ts", "attempt", "result", "registration_id", "late")
+
+
 @query
 def rate_violations(f):
     return jobs.rate_violations(f.request_log, SPARSE_LIMITS)
@@ -91,10 +109,13 @@ def rate_violations(f):
 @query
 def rate_violations_standard(f):
     """The limits of the service: the busiest minutes of the log's clients, all taken for one day."""
+    return jobs.rate_violations(_crowded(f))
+
+
+def _crowded(f: Fixtures) -> DataFrame:
     hour = F.date_trunc("day", "ts").cast("timestamp_ntz")
     crowded = F.timestamp_seconds(F.unix_seconds(hour.cast("timestamp")) + F.pmod(F.col("request_id"), F.lit(900)))
-    packed = f.request_log.select("limiter", F.pmod("client", F.lit(10)).alias("client"), crowded.cast("timestamp_ntz").alias("ts"))
-    return jobs.rate_violations(packed)
+    return f.request_log.select("request_id", "limiter", F.pmod("client", F.lit(10)).alias("client"), crowded.cast("timestamp_ntz").alias("ts"))
 
 
 @query
@@ -111,6 +132,52 @@ def stream_daily(f):
     return jobs.daily_so_far(f.spark, path, f.registrations.schema, f.ev)
 
 
+@query
+def payment_chains(f):
+    """The log's crowded clients as registrations that are paid again and again, within two minutes."""
+    attempts = _crowded(f).select(
+        F.col("client").alias("registration_id"), F.col("request_id").alias("transaction_id"), F.col("ts").alias("created_at"),
+        F.when(F.col("limiter") == "auth", "SUCCESS").otherwise("PENDING").alias("status"), (F.col("request_id") % 50).cast(X.MONEY).alias("amount"),
+    )
+    return payments.payment_chains(attempts, 2)
+
+
+def _changed(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Registrations before and after cancellations, and hand-made confirmations of some events."""
+    after = registrations.cancel_registrations(f.registrations, _cancels(f).filter("event_id % 3 != 1"), AS_OF)
+    return f.registrations, registrations.confirm_registrations(after, _confirmations(f), AS_OF)
+
+
+@query
+def change_feed(f):
+    out = changes.change_feed(*_changed(f))
+    return out.select("id", "event_id", "status", "amount_paid", "created_at", "sign")
+
+
+@query
+def stream_daily_changes(f):
+    """Registrations arrive in two micro-batches, what became of some of them in the third."""
+    before, after = _changed(f)
+    rows = before.withColumn("sign", F.lit(1)).withColumn("_at", F.expr("CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END"))
+    feed = rows.unionByName(changes.change_feed(before, after).withColumn("_at", F.lit(2)))
+    feed = feed.select("event_id", "status", "amount_paid", "created_at", "sign", "_at")
+    path = scratch_path(f.spark, "daily-changes")
+    stream = replay(feed, "_at", scratch_path(f.spark, "arriving-changes"))
+    jobs.stream_daily(stream.drop("_at"), f.ev, path).awaitTermination()
+    return jobs.daily_so_far(f.spark, path, stream.drop("_at").schema, f.ev).drop("late")
+
+
+@query
+def client_rate_violations(f):
+    return jobs.client_rate_violations(f.request_log, SPARSE_LIMITS)
+
+
+@query
+def client_windows_standard(f):
+    """The limits of the service, over the busiest minutes of the log's clients."""
+    return jobs.client_windows(_crowded(f))
+
+
 def _arrived(table: str, time: str, delay: str) -> str:
     """The table's rows with their slot and whether they are late."""
     return f"""(SELECT t.*, coalesce(t.{time} < (SELECT max(o.{time}) FROM (SELECT *, {SLOTS[table]} AS slot FROM {table}) o WHERE o.slot < t.slot) - INTERVAL {delay}, FALSE) AS late
@@ -128,6 +195,29 @@ FROM {log} l WHERE {"TRUE" if limiter == "global" else f"limiter = '{limiter}'"}
     return "\nUNION ALL ".join(parts)
 
 
+def _client_sql(limits: dict[str, tuple[int, int]], log: str, only_above: bool) -> str:
+    """Windows that open at the first request outside the one before, followed one after the other."""
+    entries = "\nUNION ALL ".join(
+        f"SELECT client, '{limiter}' AS limiter, {minutes} AS minutes, {allowed} AS allowed, ts FROM {log} l WHERE {'TRUE' if limiter == 'global' else f"limiter = '{limiter}'"}"
+        for limiter, (minutes, allowed) in limits.items()
+    )
+    return f"""
+WITH RECURSIVE hits AS ({entries}), w AS (
+  SELECT client, limiter, minutes, allowed, min(ts) AS window_start FROM hits GROUP BY ALL
+  UNION ALL
+  SELECT w.client, w.limiter, w.minutes, w.allowed, min(h.ts) FROM w JOIN hits h ON h.client = w.client AND h.limiter = w.limiter
+    AND h.ts >= w.window_start + to_minutes(w.minutes) GROUP BY ALL
+)
+SELECT w.client, w.limiter, w.window_start, w.minutes AS window_minutes, w.allowed, count(*) AS requests
+FROM w JOIN hits h ON h.client = w.client AND h.limiter = w.limiter AND h.ts >= w.window_start AND h.ts < w.window_start + to_minutes(w.minutes)
+GROUP BY ALL {"HAVING count(*) > w.allowed" if only_above else ""}"""
+
+
+#: Registrations after the change-set of `_changed`.
+_AFTER = """(SELECT * REPLACE (CASE WHEN status NOT IN ('CANCELLED','REFUNDED') AND event_id % 3 <> 1 AND id IN (SELECT registration_id FROM cancels) THEN 'CANCELLED'
+  WHEN status = 'PENDING' THEN 'MANUAL' ELSE status END AS status) FROM registrations)"""
+
+
 def _sql() -> dict[str, str]:
     from turnstile.plans.oracle import SQL as BATCH
     from turnstile.plans.oracle import admission_sql
@@ -138,6 +228,8 @@ def _sql() -> dict[str, str]:
     packed = "(SELECT limiter, client % 10 AS client, date_trunc('day', ts) + to_seconds(request_id % 900) AS ts FROM request_log)"
     return {
         "stream_scans": f"SELECT ticket_code, event_id, scan_ts, attempt, result, registration_id, late FROM ({answers}) a",
+        "stream_scans_keyed": f"SELECT ticket_code, event_id, scan_ts, attempt, result, registration_id, late FROM ({answers}) a",
+        "stream_admissions_keyed": admission_sql(public=True, arrived=_arrived("requests", "requested_at", "1 HOUR")),
         "stream_checkin_stats": f"""
 SELECT a.event_id, r.ticket_type_id, count(*) AS checked_in, max(a.scan_ts) AS last_entry
 FROM ({answers}) a JOIN registrations r ON r.id = a.registration_id WHERE a.result = 'VALID' GROUP BY 1, 2""",
@@ -145,6 +237,24 @@ FROM ({answers}) a JOIN registrations r ON r.id = a.registration_id WHERE a.resu
         "stream_admissions": admission_sql(public=True, arrived=_arrived("requests", "requested_at", "1 HOUR")),
         "rate_violations": _rate_sql(SPARSE_LIMITS, "request_log"),
         "rate_violations_standard": _rate_sql(jobs.LIMITS, packed),
+        "client_rate_violations": _client_sql(SPARSE_LIMITS, "request_log", True),
+        "client_windows_standard": _client_sql(jobs.LIMITS, packed, False),
+        "payment_chains": """
+SELECT registration_id, chain, min(created_at) AS first_at, max(created_at) AS last_at, count(*) AS attempts, count(*) FILTER (status = 'PENDING') AS pending,
+  cast(sum(amount) AS decimal(22,2)) AS amount
+FROM (SELECT *, cast(sum(opens) OVER (PARTITION BY registration_id ORDER BY created_at, transaction_id) AS bigint) AS chain
+  FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY registration_id ORDER BY created_at, transaction_id) < INTERVAL 2 MINUTE THEN 0 ELSE 1 END AS opens
+    FROM (SELECT client % 10 AS registration_id, request_id AS transaction_id, date_trunc('day', ts) + to_seconds(request_id % 900) AS created_at,
+        CASE WHEN limiter = 'auth' THEN 'SUCCESS' ELSE 'PENDING' END AS status, cast(request_id % 50 AS decimal(12,2)) AS amount FROM request_log)))
+GROUP BY 1, 2""",
+        "change_feed": f"""
+SELECT b.id, b.event_id, x.status, b.amount_paid, b.created_at, x.sign FROM registrations b JOIN {_AFTER} a ON a.id = b.id,
+  LATERAL (SELECT b.status AS status, -1 AS sign UNION ALL SELECT a.status, 1) x WHERE a.status <> b.status""",
+        "stream_daily_changes": f"""
+SELECT e.organizer_id, cast(r.created_at AS date) AS date, count(*) AS registrations,
+  count(*) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')) AS confirmed,
+  cast(coalesce(sum(r.amount_paid) FILTER (WHERE r.status IN ('CONFIRMED','MANUAL')), 0) AS decimal(22,2)) AS revenue
+FROM {_AFTER} r JOIN ev e ON e.id = r.event_id GROUP BY 1, 2""",
         "stream_rate_violations": _rate_sql(SPARSE_LIMITS, _arrived("request_log", "ts", "10 MINUTES"), late=True),
         "stream_daily": f"""
 SELECT e.organizer_id, cast(r.created_at AS date) AS date, count(*) AS registrations,

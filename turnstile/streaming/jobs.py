@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from turnstile.functions import exprs as X
 from turnstile.operators import admission, checkin, payments
+from turnstile.session import cut_lineage
 from turnstile.streaming.tables import BatchLog, BatchState
 
 
@@ -284,6 +285,75 @@ def rate_violations(log: DataFrame, limits: dict[str, tuple[int, int]] | None =
     return _window_counts(log, limits or LIMITS).filter(F.col("requests") > F.col("allowed"))
 
 
+def _next_openings(hits: DataFrame) -> DataFrame:
+    """For every distinct time a client came (key, size, at): the first time it came ``size`` or more later (``to``),
+    which opens the next window if this one opens a window; NULL after the last.
+
+    Times are looked up within buckets of one window's length: the time wanted lies in the next bucket, behind
+    the border, or opens a later one. So a client's hits are split by time, whatever their number, and only
+    the opening times of its buckets are put in order.
+    """
+    bucket = F.expr("at div size - if(at % size < 0, 1, 0)")
+    hits = hits.select("key", "size", "at").withColumn("bucket", bucket)
+    opens = hits.groupBy("key", "size", "bucket").agg(F.min("at").alias("opening"))
+    later = Window.partitionBy("key", "size").orderBy("bucket")
+    opens = opens.withColumns({"_next": F.lead("bucket").over(later), "_first": F.lead("opening").over(later), "_second": F.lead("opening", 2).over(later)})
+    probes = hits.join(opens.drop("opening"), ["key", "size", "bucket"])
+    wanted = probes.select("key", "size", "at", (F.col("bucket") + 1).alias("bucket"), (F.col("at") + F.col("size")).alias("t"), F.lit(None).cast("long").alias("hit"), "_next", "_first", "_second")
+    none = F.lit(None).cast("long")
+    there = hits.select("key", "size", none.alias("at"), "bucket", F.col("at").alias("t"), F.col("at").alias("hit"), *[none.alias(c) for c in ("_next", "_first", "_second")])
+    following = Window.partitionBy("key", "size", "bucket").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = wanted.unionByName(there).withColumn("_behind", F.min("hit").over(following)).filter(F.col("at").isNotNull())
+    to = F.when(F.col("_next") == F.col("bucket"), F.coalesce("_behind", "_second")).otherwise(F.col("_first"))
+    return found.select("key", "size", "at", to.alias("to"))
+
+
+def window_openings(hits: DataFrame) -> DataFrame:
+    """The times (key, size, at) that open a window: a key's first, then always the first one that comes ``size``
+    or more after the last opening.
+
+    The chain of openings is followed by doubling: with pointers that lead 2^i openings on, the openings known
+    double in each round, so their number of rounds is the logarithm of the longest chain. Every join is on
+    (key, time), which no client's share of the hits makes uneven.
+    """
+    jump = cut_lineage(_next_openings(hits))
+    opened = cut_lineage(jump.groupBy("key", "size").agg(F.min("at").alias("at")))
+    while True:
+        more = cut_lineage(opened.join(jump, ["key", "size", "at"]).filter(F.col("to").isNotNull()).select("key", "size", F.col("to").alias("at")))
+        if more.isEmpty():
+            return opened
+        opened = opened.unionByName(more)
+        ahead = jump.select("key", "size", F.col("at").alias("to"), F.col("to").alias("_to"))
+        jump = cut_lineage(jump.filter(F.col("to").isNotNull()).join(ahead, ["key", "size", "to"]).select("key", "size", "at", F.col("_to").alias("to")))
+
+
+def client_windows(log: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Requests per client, limiter and window, over requests ``(client, limiter, ts)``, where a window opens with a
+    client's first request outside the one before, and lasts the limiter's minutes."""
+    limits = limits or LIMITS
+    entries = []
+    for limiter, (minutes, allowed) in limits.items():
+        entry = F.struct(F.lit(limiter).alias("limiter"), F.lit(minutes).alias("minutes"), F.lit(allowed).alias("allowed"))
+        entries.append(entry if limiter == "global" else F.when(F.col("limiter") == limiter, entry))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = log.filter(F.col("ts").isNotNull()).select("client", micros.alias("at"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    key, size = F.struct("client", "e.limiter", "e.allowed"), F.col("e.minutes") * F.lit(60_000_000).cast("long")
+    hits = cut_lineage(rows.groupBy(key.alias("key"), size.alias("size"), "at").agg(F.count("*").alias("n")))
+    bucket = F.expr("at div size - if(at % size < 0, 1, 0)")
+    opened = window_openings(hits).withColumn("_bucket", F.explode(F.array(bucket, bucket + 1))).withColumnRenamed("at", "opening")
+    # A window lies in two buckets; in a bucket at most two windows begin or end.
+    placed = hits.withColumn("_bucket", bucket).join(opened, ["key", "size", "_bucket"])
+    placed = placed.filter((F.col("at") >= F.col("opening")) & (F.col("at") < F.col("opening") + F.col("size")))
+    counted = placed.groupBy("key", "size", "opening").agg(F.sum("n").alias("requests"))
+    start = F.timestamp_micros("opening").cast("timestamp_ntz")
+    return counted.select("key.client", "key.limiter", start.alias("window_start"), (F.col("size") / 60_000_000).cast("int").alias("window_minutes"), "key.allowed", "requests")
+
+
+def client_rate_violations(log: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """As ``rate_violations``, with windows that open at a client's first request."""
+    return client_windows(log, limits).filter(F.col("requests") > F.col("allowed"))
+
+
 def stream_rates(
     log: DataFrame, path: str, limits: dict[str, tuple[int, int]] | None = None, delay: str = "10 minutes", every: int = 50, **trigger
 ) -> StreamingQuery:
@@ -302,13 +372,14 @@ def rates_so_far(spark, path: str, schema: StructType, limits: dict[str, tuple[i
 
 def daily_totals(reg: DataFrame, ev: DataFrame) -> DataFrame:
     """Registrations, paid ones and revenue per organizer and day, and the ``late`` rows among them if they
-    are marked."""
+    are marked. A table with a ``sign`` is a change feed: rows with -1 are taken off."""
     paid = X.is_paid(F.col("status"))
     late = {"late": F.count_if(F.col("late"))} if "late" in reg.columns else {}
+    sign = F.col("sign") if "sign" in reg.columns else F.lit(1)
     measures = {
-        "registrations": F.count("*"),
-        "confirmed": F.count_if(paid),
-        "revenue": X.sum_if(paid, F.col("amount_paid")),
+        "registrations": F.sum(sign),
+        "confirmed": F.sum(F.when(paid, sign).otherwise(0)),
+        "revenue": X.sum_if(paid, F.col("amount_paid") * sign),
         **late,
     }
     # Summed per event before owners are joined.
@@ -319,10 +390,14 @@ def daily_totals(reg: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def stream_daily(reg: DataFrame, ev: DataFrame, path: str, delay: str = "1 day", every: int = 50, **trigger) -> StreamingQuery:
-    """Keep daily totals of a stream of registrations; see ``daily_so_far``."""
+    """Keep daily totals of a stream of registrations, or of a change feed of them (see ``changes.change_feed``):
+    every micro-batch adds its signed sums, so a cancelled registration is taken off the day it was counted on,
+    in whatever order the rows arrive. See ``daily_so_far``."""
     return stream_sums(reg, lambda df: daily_totals(df, ev), ["organizer_id", "date"], "created_at", path, delay, every, **trigger)
 
 
 def daily_so_far(spark, path: str, schema: StructType, ev: DataFrame) -> DataFrame:
-    """As ``daily_totals`` over all registrations so far, with the ``late`` ones counted."""
-    return sums_state(spark, path, schema, lambda df: daily_totals(df, ev), ["organizer_id", "date"]).latest()
+    """As ``daily_totals`` over all registrations so far, with the ``late`` rows counted. Days of which all
+    registrations were taken off are not shown."""
+    days = sums_state(spark, path, schema, lambda df: daily_totals(df, ev), ["organizer_id", "date"]).latest()
+    return days.filter(F.col("registrations") != 0)
