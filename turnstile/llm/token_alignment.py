@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,7 +46,8 @@ from turnstile.llm import common as C
 WINDOWS, BYTES = 1 << 17, 24 << 20
 #: Texts with a code point from here on are cut by the tokenizer's own rule: two libraries may know different
 #: versions of Unicode. Below it they agree (tested).
-AGREED = 0x0870
+AGREED = 0x30000
+_STRANGE = re.compile(f"[{chr(AGREED)}-{chr(sys.maxunicode)}]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -87,6 +90,8 @@ class ByteLevel:
         for token, i in ids.items():
             tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.vocabulary = Vocabulary(tokens)
+        # With every single byte in the vocabulary the ids spell the bytes they were made from.
+        self.lossless = {bytes([b]) for b in range(256)} <= set(tokens)
         self.fast = self._ranked(model, tokens, pre)
 
     def _ranked(self, model: dict, tokens: list[bytes], pre: dict):
@@ -105,9 +110,9 @@ class ByteLevel:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.fast is None or not t.isascii() and max(t) >= chr(AGREED)]
+        odd = [i for i, t in enumerate(texts) if self.fast is None or _STRANGE.search(t)]
         for i in set(range(len(texts))) - set(odd):
-            out[i] = np.array(self.fast.encode_ordinary(" " + texts[i]), np.int64)
+            out[i] = self.fast.encode_to_numpy(" " + texts[i], disallowed_special=()).astype(np.int64)
         for i, e in zip(odd, self.slow.encode_batch_fast([" " + texts[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.int64)
         return out
@@ -210,40 +215,37 @@ def _spelt(ids: bytes) -> str:
 
 
 class Memo:
-    """Windows seen so far, by their id tuples: number, groups as text, linked pairs and occurrences."""
+    """Windows seen so far, by their id tuples: a window's number leads to its groups, a group's to its text and to
+    the pair of tokens that end it."""
 
     def __init__(self):
         self.number: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[str] = []
-        self.sizes: list[np.ndarray] = []  # groups of the windows
-        self.pairs: list[np.ndarray] = []  # the tokens that end each group
+        self.group: dict[tuple[bytes, bytes], int] = {}
+        self.texts: list[str] = []  # of the groups
+        self.pair: list[int] = []
+        self.sizes = self.starts = self.groups = np.zeros(0, np.int64)  # of the windows
         self.times = np.zeros(0, np.int64)
         self.bytes = 0
-        self._said: dict[tuple[bytes, bytes], str] = {}  # of single groups
 
     def _learn(self, w: Windows, new: np.ndarray) -> None:
         """Groups and links of the windows at `new`."""
         begin = np.concatenate(([0], w.last[:-1] + 1))[new]
         size = w.last[new] + 1 - begin
         group = C.ranges(begin, size)
-        before = group - 1
         spans = []
         for ids, ends in ((w.a, w.end_a), (w.b, w.end_b)):
-            spans += [ids, np.where(group > 0, ends[before], 0), ends[group]]
+            spans += [ids, np.where(group > 0, ends[group - 1], 0), ends[group]]
         one, of = _distinct(*spans)
-        said = []
+        known, numbers = len(self.group), []
         for name in _named(*(x if k % 3 == 0 else x[one] for k, x in enumerate(spans))):
-            text = self._said.get(name)
-            if text is None:
-                text = self._said[name] = f"{_spelt(name[0])}|{_spelt(name[1])}"
-            said.append(text)
-        texts = np.array([*said, None], object)[of].tolist()
-        at = 0
-        for n in size.tolist():
-            self.groups.append(";".join(texts[at : at + n]))
-            at += n
-        self.sizes.append(size)
-        self.pairs.append(w.a[w.end_a[group] - 1] << 32 | w.b[w.end_b[group] - 1])
+            numbers.append(n := self.group.setdefault(name, len(self.group)))
+            if n == len(self.texts):
+                self.texts.append(f"{_spelt(name[0])}|{_spelt(name[1])}")
+                self.pair.append(int.from_bytes(name[0][-4:], "little") << 32 | int.from_bytes(name[1][-4:], "little"))
+        assert len(self.texts) == len(self.group) >= known
+        self.sizes = np.concatenate((self.sizes, size))
+        self.groups = np.concatenate((self.groups, np.array(numbers, np.int64)[of]))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def numbers(self, w: Windows) -> np.ndarray:
         """The number of every window."""
@@ -252,20 +254,29 @@ class Memo:
         end_a, end_b = w.end_a[w.last], w.end_b[w.last]
         start_a, start_b = np.concatenate(([0], end_a[:-1])), np.concatenate(([0], end_b[:-1]))
         one, of = _distinct(w.a, start_a, end_a, w.b, start_b, end_b)
-        known = len(self.number)
-        number = self.number
+        known, number = len(self.number), self.number
         mine = np.array([number.setdefault(name, len(number)) for name in _named(w.a, start_a[one], end_a[one], w.b, start_b[one], end_b[one])])
         fresh = np.flatnonzero(mine >= known)
         if len(fresh):
-            order, first = np.unique(mine[fresh], return_index=True)
+            _, first = np.unique(mine[fresh], return_index=True)
             self._learn(w, one[fresh[first]])
-            assert len(self.groups) == len(number) == known + len(order)
         out = mine[of]
-        counts = np.bincount(out, minlength=len(self.groups))
+        counts = np.bincount(out, minlength=len(self.sizes))
         counts[: len(self.times)] += self.times
         self.times = counts
         return out
 
+    def said(self, number: np.ndarray, first: np.ndarray) -> list[str]:
+        """The groups of texts as text, from the numbers of their windows; `first` of each text (len + 1)."""
+        size = self.sizes[number]
+        texts = np.array([*self.texts, None], object)[self.groups[C.ranges(self.starts[number], size)]].tolist()
+        ends = np.concatenate(([0], np.cumsum(size)))[first].tolist()
+        return [";".join(texts[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def pairs(self) -> np.ndarray:
+        """The linked pairs of all windows, one window after the other."""
+        return np.array(self.pair, np.int64)[self.groups]
+
 
 _DOC = "n_a long, n_b long, n_groups long, groups_sha256 string, groups string, windows array<int>"
 _CHUNK = "sizes array<int>, times array<long>, pairs array<long>"
@@ -292,7 +303,9 @@ def _aligner(a_file: str, b_file: str, id_type: pa.DataType, spelled: bool) -> C
             text = np.ones(len(want), bool)
             text[ends[:-1]] = False
             want[text] = buf
-            right = _spelling(want, ends, got_a, a.vocabulary) & _spelling(want, ends, got_b, b.vocabulary)
+            right = _spelling(want, ends, got_b, b.vocabulary)
+            if not a.lossless:
+                right &= _spelling(want, ends, got_a, a.vocabulary)
             none = np.zeros(0, np.int64)
             own_a, own_b = [none] * len(texts), [none] * len(texts)
             for k, i in enumerate(some):
@@ -302,9 +315,7 @@ def _aligner(a_file: str, b_file: str, id_type: pa.DataType, spelled: bool) -> C
             number = memo.numbers(w)
             memo.bytes += len(buf)
             bounds = np.concatenate(([0], w.last + 1))[w.first]  # groups before each text
-            said = []
-            for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                said.append(";".join([memo.groups[x] for x in number[i:j].tolist()]))
+            said = memo.said(number, w.first)
             digest = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said]
             n = len(texts)
             return pa.RecordBatch.from_arrays(
@@ -319,7 +330,7 @@ def _aligner(a_file: str, b_file: str, id_type: pa.DataType, spelled: bool) -> C
             )
 
         def windows_row() -> pa.RecordBatch:
-            one = [pa.array([v], kind) for v, kind in ((np.concatenate(memo.sizes), ints), (memo.times, longs), (np.concatenate(memo.pairs), longs))]
+            one = [pa.array([v], kind) for v, kind in ((memo.sizes, ints), (memo.times, longs), (memo.pairs(), longs))]
             blank = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.string())] * 2 + [pa.nulls(1, ints)]
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, id_type), pa.array([False]), *blank, *one], names)
 
@@ -327,11 +338,11 @@ def _aligner(a_file: str, b_file: str, id_type: pa.DataType, spelled: bool) -> C
             column = C.plain_text(batch.column(1))
             for i, j in C.chunks(column):
                 yield documents(batch.column(0).slice(i, j - i), column.slice(i, j - i))
-                if len(memo.groups) >= WINDOWS or memo.bytes >= BYTES:
-                    if memo.groups:
+                if len(memo.sizes) >= WINDOWS or memo.bytes >= BYTES:
+                    if len(memo.sizes):
                         yield windows_row()
                     memo, chunk = Memo(), chunk + 1
-        if memo.groups:
+        if len(memo.sizes):
             yield windows_row()
 
     return run
