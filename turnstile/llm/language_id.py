@@ -204,9 +204,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     vectors = sample.select("lang", "h", "text").mapInArrow(C.released(_vectors(idf)), "lang string, h long, slots array<int>, weights array<float>")
     vectors = vectors.groupBy("lang", "h").agg(F.first("slots").alias("slots"), F.first("weights").alias("weights"))
     fitted = vectors.groupBy("lang").applyInArrow(_cluster_language, "lang string, k int, centroid array<float>, radius double")
-    best = sorted(fitted.collect(), key=lambda r: (r.lang, r.k))
-    centroids = np.array([r.centroid for r in best], np.float32).reshape(len(best), SLOTS)
-    return Model(idf, [r.lang for r in best], centroids, np.array([r.radius for r in best]) * SLACK)
+    best = fitted.toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])
+    flat = pa.concat_arrays([pa.array([], pa.list_(pa.float32())), *best.column("centroid").chunks]).flatten()
+    centroids = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(best.num_rows, SLOTS)
+    return Model(idf, best.column("lang").to_pylist(), centroids, best.column("radius").to_numpy() * SLACK)
 
 
 def _judge(model: Model, text_at: int, names: list[str], keep: list[int]) -> Callable:
