@@ -249,6 +249,8 @@ class Landmarks:
         return self.kernels(names) @ self.white
 
 
+#: Units handled at a time.
+SLICE = 16_384
 #: Units whose values a task remembers.
 REMEMBERED = 1 << 18
 
@@ -263,7 +265,9 @@ class Model:
     def values(self, names: list[str]) -> np.ndarray:
         """The SVM's value of each unit, the worst piece counting."""
         parts, of = _pieces(names)
-        value = self.land.kernels(parts) @ self.weights + np.float32(self.bias)
+        value = np.zeros(len(parts), np.float32)
+        for a in range(0, len(parts), SLICE):
+            value[a : a + SLICE] = self.land.kernels(parts[a : a + SLICE]) @ self.weights + np.float32(self.bias)
         if len(parts) == len(names):
             return value
         out = np.full(len(names), -np.inf, np.float32)
@@ -382,7 +386,7 @@ def altered(unit: str, rng: random.Random) -> list[str]:
 
 
 #: Positive units among which landmarks are chosen.
-REPRESENTED = 600
+REPRESENTED = 400
 
 
 def represented(units_: list[str], weight: np.ndarray, n: int) -> list[str]:
@@ -418,9 +422,10 @@ def fit_units(toxic: list[list[str]], clean: list[list[str]], evidence: dict[int
         seen[t, u] += 1
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     gain = np.log((seen[1] + 0.1) / (n1 + 1)) - np.log((seen[0] + 0.1) / (n0 + 1))
-    hashes, of = fragments(words)
     proven = np.zeros(len(words), bool)
-    proven[of[np.isin(hashes, keys)]] = True
+    for a in range(0, len(words), SLICE):
+        hashes, of = fragments(words[a : a + SLICE])
+        proven[a + of[np.isin(hashes, keys)]] = True
     told = proven.copy()
     proven &= (seen[1] > 0) & (gain > 1)
     base = np.flatnonzero(proven)
@@ -645,8 +650,26 @@ def _some(rows: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(picks[0].union(picks[1])), "h", "left_semi")  # at most 2 n keys
 
 
+def _texts_of(sample: pa.Table) -> list[list[list[str]]]:
+    """Units of the toxic and of the clean texts, in order, every distinct unit held once."""
+    units_ = pa.concat_arrays(sample.column("units").chunks) if sample.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = units_.flatten().dictionary_encode()
+    names, code, off = coded.dictionary.to_pylist(), coded.indices.to_pylist(), units_.offsets.to_numpy()
+    off = (off - off[0]).tolist()
+    texts: list = [[], []]
+    for a, b, toxic in zip(off[:-1], off[1:], sample.column("toxic").to_pylist(), strict=True):
+        texts[1 - toxic].append([names[c] for c in code[a:b]])
+    return [sorted(t) for t in texts]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labels (id_col, toxic) of the documents; the caller leaves held-out labels away."""
+    """Fit on labels (id_col, toxic) of the documents; the caller leaves held-out labels away. The driver gives back
+    what memory the fit has freed."""
+    (model,) = C.released(lambda _: iter([_train(docs, labels, id_col, text_col)]))(iter(()))
+    return model
+
+
+def _train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Model:
     rows = _labelled(docs, labels, id_col, text_col)
     counts = {(r.toxic, r.border): r["count"] for r in rows.groupBy("toxic", (F.col("fold") == 0).alias("border")).count().collect()}
     total = {t: counts.get((t, True), 0) + counts.get((t, False), 0) for t in (0, 1)}
@@ -657,8 +680,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     apart = all(counts.get(k, 0) for k in ((0, True), (1, True), (0, False), (1, False)))
     own = rows.where("fold != 0") if apart else rows
     found = evidence(own)
-    sample = _some(own, SAMPLE).select("text", "toxic").mapInArrow(C.released(_units_of(found)), "units array<string>, toxic int").collect()
-    groups = [sorted(list(r.units) for r in sample if r.toxic == t) for t in (1, 0)]
+    sample = _some(own, SAMPLE).select("text", "toxic").mapInArrow(C.released(_units_of(found)), "units array<string>, toxic int").toArrow()
+    groups = _texts_of(sample)
+    del sample
     land, weights, bias = fit_units(*groups, found, [])
     clean = own.where("toxic = 0").select("text")
     worst = clean.mapInArrow(C.released(_worst_units(Model(land, weights, bias), WORST // 4)), "unit string, value double")
