@@ -1,19 +1,21 @@
 """Queries that read registrations or requests several times join the order lines once."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from turnstile.operators import identifiers
 from turnstile.plans import catalog
 from turnstile.session import tune
 from turnstile.sources.fixtures import load
+from turnstile.streaming import keyed
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["admit_registrations_running"])
+@pytest.mark.parametrize("name", ["admit_registrations_running", "change_feed", "constraint_audit", "cascade_blockers", "classify_scans"])
 def test_lines_are_joined_once(spark, sf_dir, name):
     catalog.queries()
     f = load(tune(spark), sf_dir)
@@ -45,3 +47,56 @@ def test_codes_that_share_a_hash_are_compared(spark):
     again = {r.id: r.ticket_code for r in identifiers.assign_ticket_codes(keys, "id", old).collect()}
     assert {k for k in first if first[k] != again[k]} == {"7", "9"}
     assert len(set(again.values())) == 50
+
+
+class Store:
+    """A state that counts its calls."""
+
+    def __init__(self):
+        self.entries, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+
+def test_scans_of_an_event_call_the_store_once_per_block():
+    """100 tickets in two blocks, scanned twice in each of two batches, and a code that nobody has."""
+    columns = ["event_id", "ticket_code", "scan_ts", "attempt", "code", "_hash"]
+    scans = [Row(event_id=1, ticket_code=f"T{i}", scan_ts=i, attempt=a, code=f"T{i}", _hash=i - 50) for i in range(101) for a in (1, 2)]
+    checkin = keyed.CheckIn(columns, None)
+    checkin.blocks, checkin.tickets = Store(), Store()
+    for block in (0, 1):
+        held = [(f"T{i}", f"R{i}", 7, "CONFIRMED", False) for i in range(100) if (i - 50) % 2 == block]
+        checkin.handleInitialState((1,), Row(blocks=2, block=block, tickets=held), None)
+    checkin.tickets.calls = 0
+    first = [(r.attempt, r.result, r.registration_id) for r in checkin.handleInputRows((1,), iter(scans), None)]
+    assert checkin.tickets.calls == 4
+    assert first[:2] == [(1, "VALID", "R0"), (2, "ALREADY_CHECKED_IN", "R0")] and first[-1] == (2, "NOT_FOUND", None)
+    assert sum(result == "VALID" for _, result, _ in first) == 100
+    later = [r.result for r in checkin.handleInputRows((1,), iter(scans), None)]
+    assert checkin.tickets.calls == 6
+    assert later == ["ALREADY_CHECKED_IN"] * 200 + ["NOT_FOUND"] * 2
+
+
+def test_change_sets_leave_registrations_where_they_lie(spark, sf_dir):
+    """Registrations are dealt out by id twice at most, as they were and as they became."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.queries()
+        df = catalog.QUERIES["change_feed"](load(tune(spark), sf_dir))
+        moved = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("_key" in line for line in moved)
