@@ -67,6 +67,7 @@ def stream_checkin_stats(f):
 
 
 @query
+@reads_lines_often
 def stream_webhooks(f):
     tx, reg = replay_start(f)
     path = scratch_path(f.spark, "webhooks")
