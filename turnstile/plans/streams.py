@@ -128,6 +128,7 @@ def stream_rate_violations(f):
 
 
 @query
+@reads_lines_often
 def stream_daily(f):
     path = scratch_path(f.spark, "daily")
     jobs.stream_daily(_live(f, "registrations"), f.ev, path).awaitTermination()
