@@ -221,25 +221,19 @@ def duplicate_attendees(reg: DataFrame) -> DataFrame:
 # --- bulk state changes ------------------------------------------------------------------------
 
 
-def _first_request(requests: DataFrame) -> DataFrame:
-    """The earliest request per registration is the one that can apply."""
-    return requests.groupBy("registration_id", "event_id").agg(
-        F.min_by(F.struct("*"), F.col("request_id")).alias("_first")
-    )
-
-
 def confirm_registrations(reg: DataFrame, confirmations: DataFrame, as_of) -> DataFrame:
     """Registrations after confirming by hand: PENDING ones asked for become MANUAL.
 
     ``confirmations(request_id, registration_id, event_id, payment_ref)``; without a reference the
     old one stays.
     """
-    first = _first_request(confirmations).select(
+    # The earliest request per registration is the one that can apply.
+    first = confirmations.groupBy("registration_id", "event_id").agg(F.min_by("payment_ref", "request_id").alias("_ref")).select(
         F.col("registration_id").alias("id"),
         "event_id",
-        F.nullif(F.col("_first.payment_ref"), F.lit("")).alias("_ref"),
+        F.nullif(F.col("_ref"), F.lit("")).alias("_ref"),
         F.lit(True).alias("_asked"),
-    )
+    ).repartition("id")
     now = X.ts(as_of)
     hit = F.col("_asked").isNotNull() & (F.col("status") == "PENDING")
     changed = {
@@ -257,9 +251,7 @@ def confirm_registrations(reg: DataFrame, confirmations: DataFrame, as_of) -> Da
 
 def confirmation_outcomes(reg: DataFrame, confirmations: DataFrame) -> DataFrame:
     """What became of each confirmation request."""
-    first = _first_request(confirmations).select(
-        "registration_id", "event_id", F.col("_first.request_id").alias("_first_id")
-    )
+    first = confirmations.groupBy("registration_id", "event_id").agg(F.min("request_id").alias("_first_id"))
     pending = reg.filter(F.col("status") == "PENDING").select(
         F.col("id").alias("registration_id"), "event_id", F.lit(True).alias("_pending")
     )
@@ -277,7 +269,8 @@ def _cancellable(reg: DataFrame, cancels: DataFrame) -> DataFrame:
 
 def cancel_registrations(reg: DataFrame, cancels: DataFrame, as_of) -> DataFrame:
     """Registrations after a bulk cancellation. Check-in marks stay as they are."""
-    asked = cancels.select(F.col("registration_id").alias("id"), "event_id").distinct()
+    # Dealt out by id, which is how registrations that lie so already can stay.
+    asked = cancels.select(F.col("registration_id").alias("id"), "event_id").distinct().repartition("id")
     asked = asked.withColumn("_asked", F.lit(True))
     hit = F.col("_asked").isNotNull() & ~F.col("status").isin("CANCELLED", "REFUNDED")
     changed = {"status": F.lit("CANCELLED"), "updated_at": X.ts(as_of)}
