@@ -161,6 +161,7 @@ def change_feed(f):
 
 
 @query
+@reads_lines_often
 def stream_daily_changes(f):
     """Registrations arrive in two micro-batches, what became of some of them in the third."""
     before, after = _changed(f)
