@@ -5,6 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from turnstile.operators import identifiers
+from turnstile.operators.rollups import with_type
 from turnstile.plans import catalog
 from turnstile.session import tune
 from turnstile.sources.fixtures import load
@@ -100,3 +101,64 @@ def test_change_sets_leave_registrations_where_they_lie(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not any("_key" in line for line in moved)
+
+
+def test_registrations_lie_by_event_for_scans(spark, sf_dir):
+    """Tickets stay where the stored lines lie; only scans, names and counts move."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.queries()
+        df = catalog.QUERIES["classify_scans"](load(tune(spark), sf_dir))
+        moved = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("hashpartitioning(event_id" in line and "REPARTITION_BY_COL" in line for line in moved) == 1
+    assert not any(line.split("hashpartitioning(")[1].startswith("code#") for line in moved)
+
+
+@pytest.mark.parametrize("name", ["payable_registrations", "ticket_payload"])
+def test_registrations_do_not_move_for_names(spark, sf_dir, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.queries()
+        df = catalog.QUERIES[name](load(tune(spark), sf_dir))
+        assert "orders.parquet" not in plan(df)
+        tree = plan(df).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The stored lines are read for the rows, which no exchange lies above, and for the pairs of event and type.
+    depth = [(len(line) - len(line.lstrip(" :+-*()0123456789")), line) for line in tree]
+    scans = [i for i, (_, line) in enumerate(depth) if "spark_catalog" in line]
+    assert len(scans) == 2
+
+    def above(i):
+        level, found = depth[i][0], []
+        for d, line in reversed(depth[:i]):
+            if d < level:
+                level = d
+                found.append(line)
+        return found
+
+    assert any(not any("Exchange" in line for line in above(i)) for i in scans)
+
+
+def test_acceptances_move_once_for_the_winners(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.queries()
+        tree = plan(catalog.QUERIES["acceptance_outcomes"](load(tune(spark), sf_dir)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tree.count("hashpartitioning(token") == 2
+
+
+def test_types_of_other_events_are_found(spark):
+    """A registration may use another event's ticket type; one without its type goes with the inner join only."""
+    reg = spark.createDataFrame([("a", 1, 10), ("b", 2, 10), ("c", 2, 99), ("d", None, 10)], "id string, event_id int, ticket_type_id int")
+    types = spark.createDataFrame([(10, "Std")], "ticket_type_id int, name string")
+    assert sorted(with_type(reg, types).select("id", "name").collect()) == [("a", "Std"), ("b", "Std")]
+    got = {r.id: r.name for r in with_type(reg, types, "left").select("id", "name").collect()}
+    assert got["a"] == got["b"] == "Std" and got["c"] is None and len(got) == 4

@@ -70,6 +70,27 @@ def test_late_scan_does_not_take_the_entry(spark, tmp_path):
     assert got == {1: ("VALID", False), 2: ("ALREADY_CHECKED_IN", True)}
 
 
+def test_large_batches_meet_tickets_where_they_lie(spark, tmp_path, monkeypatch):
+    """As above, with batches too large to be sent round: two tickets, equal scans, an unknown code."""
+    monkeypatch.setattr(jobs, "BATCH_ROWS", 0)
+    t0 = dt.datetime(2000, 1, 1)
+    rows_in = [("EVX-A", 1, t0, 1), ("EVX-A", 1, t0, 1), ("EVX-B", 1, t0, 1), ("EVX-B", 2, t0, 1), ("EVX-A", 1, t0 - dt.timedelta(hours=3), 2)]
+    scans = spark.createDataFrame(rows_in, "ticket_code string, event_id int, scan_ts timestamp_ntz, attempt int")
+    reg = spark.createDataFrame(
+        [("r", "EVX-A", 1, 10, "CONFIRMED", False), ("s", "EVX-B", 1, 10, "PENDING", False)],
+        "id string, ticket_code string, event_id int, ticket_type_id int, status string, checked_in boolean",
+    )
+    tt = spark.createDataFrame([(10, "Std")], "id int, name string")
+    ev = spark.createDataFrame([(1, "Jazz"), (2, "Rock")], "id int, title string")
+    jobs.stream_scans(as_stream(scans, str(tmp_path / "in"), F.col("attempt") - 1, 2), reg, tt, ev, str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/answers")).select("ticket_code", "event_id", "attempt", "result", "late", "ticket_type_name", "event_title")
+    assert sorted(tuple(r) for r in got.collect() if r.result != "NOT_FOUND") == [
+        ("EVX-A", 1, 1, "ALREADY_CHECKED_IN", False, "Std", "Jazz"), ("EVX-A", 1, 1, "VALID", False, "Std", "Jazz"),
+        ("EVX-A", 1, 2, "ALREADY_CHECKED_IN", True, "Std", "Jazz"), ("EVX-B", 1, 1, "PENDING", False, "Std", "Jazz"),
+    ]
+    assert [tuple(r) for r in got.filter("result = 'NOT_FOUND'").collect()] == [("EVX-B", 2, 1, "NOT_FOUND", False, None, None)]
+
+
 def test_webhooks_in_micro_batches(spark, sf_dir, tmp_path):
     f = load(spark, sf_dir)
     tx, reg = replay_start(f)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
 from turnstile.functions.ranking import top_k
-from turnstile.operators.rollups import event_measures
+from turnstile.operators.rollups import event_measures, with_type
 
 _COPIES_PER_ROW = 10_000
 
@@ -36,16 +36,19 @@ def classify_scans(scans: DataFrame, reg: DataFrame, tt: DataFrame, ev: DataFram
     """Answer to every scan ``(ticket_code, event_id, scan_ts, attempt)``.
 
     Only the first scan (by ``scan_ts, attempt``) of an open ticket is VALID. Equal scans are
-    counted, not ranked, and the first scan is an aggregate: both combine on the map side, so a
-    ticket scanned without end stays small in the shuffle. Equal copies are written out at the end.
+    counted on the map side, not ranked, so a scan repeated without end stays small in the shuffle.
+    Equal copies are written out at the end. What is left of the scans is dealt out by event once,
+    for the order of a ticket's scans and for the tickets, which need not move if they lie so.
     """
     key = ["code", "event_id"]
+    by_time = Window.partitionBy(*key).orderBy("scan_ts", "attempt", "ticket_code")
     seen = (
         scans.withColumn("code", X.normal_code(F.col("ticket_code")))
         .groupBy("ticket_code", *key, "scan_ts", "attempt")
         .agg(F.count("*").alias("_n"))
+        .repartition("event_id")
+        .withColumn("_is_first", F.row_number().over(by_time) == 1)
     )
-    first = seen.groupBy(*key).agg(F.min(F.struct("scan_ts", "attempt", "ticket_code")).alias("_first"))
     tickets = reg.select(
         F.col("ticket_code").alias("code"),
         "event_id",
@@ -55,14 +58,12 @@ def classify_scans(scans: DataFrame, reg: DataFrame, tt: DataFrame, ev: DataFram
         "checked_in",
     )
     standing = _standing(F.col("registration_id"), F.col("status"), F.col("checked_in"))
-    # Names are joined to the scanned tickets: registrations are moved only once, and scans of unknown
-    # codes, which have no ticket type, meet no join on one.
     types = tt.select(F.col("id").alias("ticket_type_id"), F.col("name").alias("ticket_type_name"))
+    # Joined to the tickets, so that scans of unknown codes get none.
     events = ev.select(F.col("id").alias("event_id"), F.col("title").alias("event_title"))
-    known = tickets.join(first, key).join(types, "ticket_type_id", "left").join(events, "event_id", "left")
+    known = with_type(tickets, types, "left").join(events, "event_id", "left")
     answered = seen.join(known, key, "left").withColumn("_standing", standing)
-    is_first = F.struct("scan_ts", "attempt", "ticket_code") == F.col("_first")
-    single = _expand(answered.withColumn("_is_first", is_first), "_n", "_copy")
+    single = _expand(answered, "_n", "_copy")
     result = F.when(
         (F.col("_standing") == "VALID") & ~(F.col("_is_first") & (F.col("_copy") == 1)), "ALREADY_CHECKED_IN"
     ).otherwise(F.col("_standing"))

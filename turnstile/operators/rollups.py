@@ -25,6 +25,13 @@ def owner_of(ev: DataFrame) -> DataFrame:
     return ev.select(F.col("id").alias("event_id"), "organizer_id")
 
 
+def with_type(reg: DataFrame, types: DataFrame, how: str = "inner") -> DataFrame:
+    """Registrations of some event with columns of ``types (ticket_type_id, ...)``, looked up once per event and
+    type: registrations meet them on the event, where they may lie already, and move for no join on the type."""
+    pairs = reg.select("event_id", "ticket_type_id").distinct().join(types, "ticket_type_id")
+    return reg.join(pairs, ["event_id", "ticket_type_id"], how)
+
+
 def per_organizer(ev: DataFrame, per_event: DataFrame, measures: list[str], *more_keys: str) -> DataFrame:
     joined = per_event.join(owner_of(ev), "event_id")
     return joined.groupBy("organizer_id", *more_keys).agg(*[F.sum(m).alias(m) for m in measures])

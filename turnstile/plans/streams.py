@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
 from turnstile.operators import changes, payments, registrations
-from turnstile.plans.catalog import AS_OF, SITE, _cancels, _confirmations, query, reads_lines_often, replay_start, start_state, unchecked
+from turnstile.plans.catalog import AS_OF, SITE, _cancels, _confirmations, query, reads_lines_by_event, reads_lines_often, replay_start, start_state, unchecked
 from turnstile.session import scratch_path
 from turnstile.sources.fixtures import Fixtures
 from turnstile.streaming import jobs, keyed
@@ -30,25 +30,29 @@ SLOTS = {
 FILES = 4
 
 
-def replay(df: DataFrame, slot: str, path: str, slots: int = 3) -> DataFrame:
-    """df as a stream of ``slots`` micro-batches: every slot is written as FILES files, one slot after the other."""
+def replay(df: DataFrame, slot: str, path: str, slots: int = 3, read_only: bool = False) -> DataFrame:
+    """df as a stream of ``slots`` micro-batches: every slot is written as FILES files, one slot after the other.
+    Rows that are only read, not joined, go from FILES tasks to the files; others are shuffled to them."""
     rows = df.withColumn("_slot", F.expr(slot))
     for n in range(slots):
-        rows.filter(F.col("_slot") == n).drop("_slot").repartition(FILES).write.mode("append").parquet(path)
+        of_slot = rows.filter(F.col("_slot") == n).drop("_slot")
+        (of_slot.coalesce(FILES) if read_only else of_slot.repartition(FILES)).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _live(f: Fixtures, name: str) -> DataFrame:
-    return replay(getattr(f, name), SLOTS[name], scratch_path(f.spark, f"arriving-{name}"))
+    read_only = name != "webhooks" and f._lines is not None
+    return replay(getattr(f, name), SLOTS[name], scratch_path(f.spark, f"arriving-{name}"), read_only=read_only)
 
 
 def _scan_answers(f: Fixtures) -> str:
     path = scratch_path(f.spark, "scans")
-    jobs.stream_scans(_live(f, "scans"), unchecked(f), f.ticket_types, f.ev, path).awaitTermination()
+    jobs.stream_scans(_live(f, "scans"), unchecked(f), f.unsold_types, f.ev, path).awaitTermination()
     return path
 
 
 @query
+@reads_lines_by_event
 def stream_scans(f):
     path = _scan_answers(f)
     return f.spark.read.parquet(f"{path}/answers").select(
@@ -57,6 +61,7 @@ def stream_scans(f):
 
 
 @query
+@reads_lines_by_event
 def stream_checkin_stats(f):
     path = _scan_answers(f)
     answers = f.spark.read.parquet(f"{path}/answers")
@@ -99,7 +104,7 @@ def stream_admissions_keyed(f):
 def stream_scans_keyed(f):
     """As stream_scans, with state per event in the state store."""
     path = scratch_path(f.spark, "keyed-scans")
-    keyed.stream_scans(_live(f, "scans"), unchecked(f), f.ticket_types, f.ev, path).awaitTermination()
+    keyed.stream_scans(_live(f, "scans"), unchecked(f), f.unsold_types, f.ev, path).awaitTermination()
     return f.spark.read.parquet(f"{path}/answers").select("ticket_code", "event_id", "scan_ts", "attempt", "result", "registration_id", "late")
 
 
