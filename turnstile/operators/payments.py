@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
 from turnstile.functions.ranking import page_per_key
+from turnstile.operators.rollups import with_type
 
 
 def payable_registrations(reg: DataFrame, tt: DataFrame, ev: DataFrame, org: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def payable_registrations(reg: DataFrame, tt: DataFrame, ev: DataFrame, org: Dat
     )
     reason = F.when(X.is_paid(F.col("status")), "ALREADY_CONFIRMED").when(F.col("amount_paid") == 0, "FREE")
     return (
-        reg.join(types, "ticket_type_id")
+        with_type(reg, types)
         .join(events, "event_id")
         .select(
             F.col("id").alias("registration_id"), "event_id", "organizer_id", "organizer_name", "event_title",
