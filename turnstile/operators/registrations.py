@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
 from turnstile.functions.ranking import SLICE_ROWS, page_per_key, running_rank
+from turnstile.operators.rollups import with_type
 
 
 def _types(tt: DataFrame, *extra: str) -> DataFrame:
@@ -97,7 +98,7 @@ def ticket_payload(reg: DataFrame, tt: DataFrame, ev: DataFrame) -> DataFrame:
             "city",
         ).alias("event"),
     )
-    rows = reg.join(types, "ticket_type_id").join(events, "event_id")
+    rows = with_type(reg, types).join(events, "event_id")
     ticket = F.struct(
         F.col("_tt.name").alias("name"),
         F.col("_tt.price").alias("price"),
