@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
@@ -135,18 +135,18 @@ def acceptance_outcomes(acceptances: DataFrame, inv: DataFrame, org: DataFrame,
     checked = checked.withColumn("_failed", outcome)
     # An invitation's address is one account, so the first join per (event, person) also decides
     # which acceptance uses up an invitation.
+    # Looked for among the rows as they lie after the last join; those that failed are a group each.
     order = F.struct("accepted_at", "request_id")
-    first = (
-        checked.filter(F.col("_failed").isNull())
-        .groupBy("event_id", "organizer_id")
-        .agg(F.min(F.struct(order.alias("o"), "token")).alias("_winner"))
-    )
+    apart = F.when(F.col("_failed").isNotNull(), F.xxhash64("request_id"))
+    first = F.min(F.struct(order.alias("o"), "token")).over(Window.partitionBy("event_id", "organizer_id", apart))
+    given = F.col("event_id").isNotNull() & F.col("organizer_id").isNotNull()
+    checked = checked.withColumn("_winner", F.when(given, first))
     won = F.col("_winner.o") == order
     used = F.col("_winner.token") == F.col("token")
     result = F.coalesce(
         F.col("_failed"), F.when(won, "JOINED").when(used, "INVALID_OR_EXPIRED").otherwise("ALREADY_MEMBER")
     )
-    return checked.join(first, ["event_id", "organizer_id"], "left").select(
+    return checked.select(
         "request_id", "token", "organizer_id", "accepted_at", "event_id", "invitation_id", "role", "invited_by",
         result.alias("outcome"),
     )
