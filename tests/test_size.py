@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnstile.operators import identifiers
 from turnstile.operators.rollups import with_type
-from turnstile.plans import catalog
+from turnstile.plans import catalog, streams
 from turnstile.session import tune
 from turnstile.sources.fixtures import load
 from turnstile.streaming import keyed
@@ -162,3 +162,32 @@ def test_types_of_other_events_are_found(spark):
     assert sorted(with_type(reg, types).select("id", "name").collect()) == [("a", "Std"), ("b", "Std")]
     got = {r.id: r.name for r in with_type(reg, types, "left").select("id", "name").collect()}
     assert got["a"] == got["b"] == "Std" and got["c"] is None and len(got) == 4
+
+
+def test_batches_meet_types_and_codes_where_they_lie(spark, sf_dir):
+    """What every batch of requests is joined with is stored, in buckets of the event, and not computed again."""
+    f = load(tune(spark), sf_dir)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table, rows in zip(streams._stored_start(f), catalog.start_state(f)):
+            assert table.exceptAll(rows).isEmpty() and rows.exceptAll(table).isEmpty()
+            requests = f.requests.repartition("event_id").join(table.select("event_id", "id"), "event_id")
+            side = plan(requests).split("REPARTITION_BY_COL")[1]
+            assert "lineitem.parquet" not in plan(table) and "hashpartitioning(event_id" not in side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["cascade_rows_left", "constraint_audit"])
+def test_lines_are_stored_for_passes_over_all_tables(spark, sf_dir, name):
+    f = load(tune(spark), sf_dir)
+    df = catalog.QUERIES[name](f)
+    assert f._lines is not None and "orders.parquet" not in plan(df)
+
+
+def test_a_slot_is_as_many_files_as_a_batch_takes(spark, tmp_path):
+    """Also where the rows of a slot lie together, and few files of the table."""
+    rows = spark.range(0, 90, 1, 1)
+    streams.replay(rows, "CASE WHEN id < 30 THEN 0 WHEN id < 60 THEN 1 ELSE 2 END", str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("part-*"))) == 3 * streams.FILES

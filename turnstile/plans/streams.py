@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnstile.functions import exprs as X
 from turnstile.operators import changes, payments, registrations
 from turnstile.plans.catalog import AS_OF, SITE, _cancels, _confirmations, query, reads_lines_by_event, reads_lines_often, replay_start, start_state, unchecked
-from turnstile.session import scratch_path
+from turnstile.session import scratch_path, store_buckets
 from turnstile.sources.fixtures import Fixtures
 from turnstile.streaming import jobs, keyed
 from turnstile.streaming.tables import newest
@@ -30,19 +30,23 @@ SLOTS = {
 FILES = 4
 
 
-def replay(df: DataFrame, slot: str, path: str, slots: int = 3, read_only: bool = False) -> DataFrame:
+def replay(df: DataFrame, slot: str, path: str, slots: int = 3, dealt: bool = False) -> DataFrame:
     """df as a stream of ``slots`` micro-batches: every slot is written as FILES files, one slot after the other.
-    Rows that are only read, not joined, go from FILES tasks to the files; others are shuffled to them."""
+    Rows that are ``dealt`` out lie in FILES partitions already."""
     rows = df.withColumn("_slot", F.expr(slot))
     for n in range(slots):
         of_slot = rows.filter(F.col("_slot") == n).drop("_slot")
-        (of_slot.coalesce(FILES) if read_only else of_slot.repartition(FILES)).write.mode("append").parquet(path)
+        (of_slot if dealt else of_slot.repartition(FILES)).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _live(f: Fixtures, name: str) -> DataFrame:
-    read_only = name != "webhooks" and f._lines is not None
-    return replay(getattr(f, name), SLOTS[name], scratch_path(f.spark, f"arriving-{name}"), read_only=read_only)
+    return replay(getattr(f, name), SLOTS[name], scratch_path(f.spark, f"arriving-{name}"))
+
+
+def _live_requests(f: Fixtures) -> DataFrame:
+    """The lines are dealt out to the files, which are narrower than the requests made of them."""
+    return replay(f.as_requests(f.lines().repartition(FILES)), SLOTS["requests"], scratch_path(f.spark, "arriving-requests"), dealt=True)
 
 
 def _scan_answers(f: Fixtures) -> str:
@@ -82,20 +86,26 @@ def stream_webhooks(f):
     return out.select("id", "event_id", "status", "payment_method", "paid_at", "platform_fee", "net_amount")
 
 
+def _stored_start(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Ticket types and promo codes before any request, for a query that joins every batch with them on the event."""
+    tt, promo = start_state(f)
+    return store_buckets(tt, "types", "event_id"), store_buckets(promo, "promos", "event_id")
+
+
 @query
 def stream_admissions(f):
-    tt, promo = start_state(f)
+    tt, promo = _stored_start(f)
     path = scratch_path(f.spark, "admissions")
-    jobs.stream_admissions(_live(f, "requests"), f.ev, tt, promo, path).awaitTermination()
+    jobs.stream_admissions(_live_requests(f), f.ev, tt, promo, path).awaitTermination()
     return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
 
 
 @query
 def stream_admissions_keyed(f):
     """As stream_admissions, with state per event in the state store."""
-    tt, promo = start_state(f)
+    tt, promo = _stored_start(f)
     path = scratch_path(f.spark, "keyed-admissions")
-    keyed.stream_admissions(_live(f, "requests"), f.ev, tt, promo, path).awaitTermination()
+    keyed.stream_admissions(_live_requests(f), f.ev, tt, promo, path).awaitTermination()
     return f.spark.read.parquet(f"{path}/outcomes").drop("batch")
 
 
