@@ -111,3 +111,12 @@ def test_exactly_one_row_of_each_group_stays(spark):
 def test_no_rows(spark):
     assert near_duplicates.components(no_docs(spark)).count() == 0
     assert near_duplicates.keep_one(no_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("links, steps", [([(1, i) for i in range(2, 9)], 0), ([], 0), ([(i, i + 1) for i in range(1, 40)] + [(60, 50), (60, 55)], 9)])
+def test_links_that_are_stars_take_no_step(spark, monkeypatch, links, steps):
+    stored, store = [], common.store
+    monkeypatch.setattr(common, "store", lambda df, label: stored.append(label) or store(df, label))
+    roots = {r.node: r.root for r in common.connected(spark.createDataFrame(links, "a long, b long"), "c").collect()}
+    assert roots == {n: 50 if n >= 50 else 1 for link in links for n in link}
+    assert len(stored) <= 1 + steps
