@@ -191,3 +191,14 @@ def test_a_slot_is_as_many_files_as_a_batch_takes(spark, tmp_path):
     rows = spark.range(0, 90, 1, 1)
     streams.replay(rows, "CASE WHEN id < 30 THEN 0 WHEN id < 60 THEN 1 ELSE 2 END", str(tmp_path / "in"))
     assert len(list((tmp_path / "in").glob("part-*"))) == 3 * streams.FILES
+
+
+def test_check_in_stores_no_names_and_amounts(spark, sf_dir):
+    """What tickets and scans do not read is neither moved nor stored; the tickets are those of the whole lines."""
+    f, whole = load(tune(spark), sf_dir), load(tune(spark), sf_dir)
+    catalog.QUERIES["classify_scans"](f)
+    assert not {"c_name", "c_mktsegment", "l_extendedprice"} & set(f.lines().columns)
+    assert {"first_name", "last_name", "email", "amount_paid"} == set(whole.registrations.columns) - set(f.registrations.columns)
+    rows = whole.registrations.select(f.registrations.columns)
+    assert f.registrations.exceptAll(rows).isEmpty() and rows.exceptAll(f.registrations).isEmpty()
+    assert f.scans.exceptAll(whole.scans).isEmpty() and whole.scans.count() == f.scans.count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import exprs as X
 from turnstile.operators import changes, payments, registrations
-from turnstile.plans.catalog import AS_OF, SITE, _cancels, _confirmations, query, reads_lines_by_event, reads_lines_often, replay_start, start_state, unchecked
+from turnstile.plans.catalog import AS_OF, SITE, _cancels, _confirmations, query, reads_lines_often, reads_tickets_by_event, replay_start, start_state, unchecked
 from turnstile.session import scratch_path, store_buckets
 from turnstile.sources.fixtures import Fixtures
 from turnstile.streaming import jobs, keyed
@@ -56,7 +56,7 @@ def _scan_answers(f: Fixtures) -> str:
 
 
 @query
-@reads_lines_by_event
+@reads_tickets_by_event
 def stream_scans(f):
     path = _scan_answers(f)
     return f.spark.read.parquet(f"{path}/answers").select(
@@ -65,7 +65,7 @@ def stream_scans(f):
 
 
 @query
-@reads_lines_by_event
+@reads_tickets_by_event
 def stream_checkin_stats(f):
     path = _scan_answers(f)
     answers = f.spark.read.parquet(f"{path}/answers")
