@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from turnstile.operators import identifiers
+from turnstile.operators import admission, identifiers
 from turnstile.operators.rollups import with_type
 from turnstile.plans import catalog, streams
 from turnstile.session import tune
@@ -202,3 +202,10 @@ def test_check_in_stores_no_names_and_amounts(spark, sf_dir):
     rows = whole.registrations.select(f.registrations.columns)
     assert f.registrations.exceptAll(rows).isEmpty() and rows.exceptAll(f.registrations).isEmpty()
     assert f.scans.exceptAll(whole.scans).isEmpty() and whole.scans.count() == f.scans.count()
+
+
+def test_requests_move_without_what_is_made_of_them(spark, sf_dir):
+    f = load(tune(spark), sf_dir)
+    ready = admission.prepare_requests(f.requests, f.ev, *catalog.start_state(f), None, "public")
+    tree = ready._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < tree.index("AS _email") < tree.index("Join LeftOuter")
