@@ -9,7 +9,8 @@ from turnstile.operators.rollups import with_type
 from turnstile.plans import catalog, streams
 from turnstile.session import tune
 from turnstile.sources.fixtures import load
-from turnstile.streaming import keyed
+from turnstile.streaming import jobs, keyed
+from turnstile.streaming.tables import newest
 
 
 def plan(df) -> str:
@@ -209,3 +210,15 @@ def test_requests_move_without_what_is_made_of_them(spark, sf_dir):
     ready = admission.prepare_requests(f.requests, f.ev, *catalog.start_state(f), None, "public")
     tree = ready._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < tree.index("AS _email") < tree.index("Join LeftOuter")
+
+
+def test_stored_answers_arrive_in_three_batches(spark, tmp_path):
+    """Also where many tasks have written them; the counts are those of one pass."""
+    rows = spark.range(200).select((F.col("id") % 7).alias("event_id"), (F.col("id") % 2).alias("ticket_type_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("scan_ts"))
+    rows.repartition(40).write.parquet(str(tmp_path / "answers"))
+    stream = streams.replay_stored(spark, str(tmp_path / "answers"))
+    query = jobs.log_updates(jobs.stream_checkin_stats(stream), str(tmp_path / "stats"))
+    query.awaitTermination()
+    assert sum(p.numInputRows > 0 for p in query.recentProgress) == streams.BATCHES
+    live = newest(jobs.updates(spark, str(tmp_path / "stats")), ["event_id"])
+    assert live.exceptAll(jobs.stream_checkin_stats(rows)).isEmpty() and live.count() == 7
