@@ -1,5 +1,8 @@
 """Queries that read registrations or requests several times join the order lines once."""
 
+import json
+
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -222,3 +225,22 @@ def test_stored_answers_arrive_in_three_batches(spark, tmp_path):
     assert sum(p.numInputRows > 0 for p in query.recentProgress) == streams.BATCHES
     live = newest(jobs.updates(spark, str(tmp_path / "stats")), ["event_id"])
     assert live.exceptAll(jobs.stream_checkin_stats(rows)).isEmpty() and live.count() == 7
+
+
+def test_admissions_of_many_events_are_one_call(spark):
+    """An event's counts are one entry, read and written once; addresses beyond it are entries of their own."""
+    decide = keyed.Admission(True)
+    decide.entries, decide.others = Store(), Store()
+
+    def asked(event, i):
+        limits = {"_seats": 1400, "_email": f"a{i}@x", "given": {"email": f"a{i}@x"}}
+        return (0, event, "7", f"{event}-{i:05d}", i, None, json.dumps(limits))
+
+    columns = ["_cell", "event", "kind", "request_id", "at", "outcome", "limits"]
+    frames = [pd.DataFrame([asked(e, i) for i in range(1500) for e in "ABC"], columns=columns) for _ in range(1)]
+    (first,) = decide.handleInputRows((0,), iter(frames), None)
+    assert decide.entries.calls == 6
+    assert (first["outcome"] == "ACCEPTED").sum() == 3 * 1400 and set(first["outcome"][-300:]) == {"SOLD_OUT"}
+    again = pd.DataFrame([(*asked("B", i)[:2], "8", *asked("B", i)[3:]) for i in (0, 1399, 1450)], columns=columns)
+    (later,) = decide.handleInputRows((0,), iter([again]), None)
+    assert list(later["outcome"]) == ["DUPLICATE_EMAIL", "DUPLICATE_EMAIL", "ACCEPTED"]
