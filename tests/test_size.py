@@ -244,3 +244,19 @@ def test_admissions_of_many_events_are_one_call(spark):
     again = pd.DataFrame([(*asked("B", i)[:2], "8", *asked("B", i)[3:]) for i in (0, 1399, 1450)], columns=columns)
     (later,) = decide.handleInputRows((0,), iter([again]), None)
     assert list(later["outcome"]) == ["DUPLICATE_EMAIL", "DUPLICATE_EMAIL", "ACCEPTED"]
+
+def test_scans_of_many_events_are_one_call():
+    """Tickets are not written again when somebody enters; one code may be a ticket of two events."""
+    columns = [*keyed.CellCheckIn.ASKED, "ticket_code", "_attempt"]
+    checkin = keyed.CellCheckIn(columns)
+    checkin.blocks, checkin.tickets, checkin.inside = Store(), Store(), Store()
+    held = [[f"{e}:T{i}", f"R{e}{i}", "7", "CONFIRMED", "false"] for e in (1, 2) for i in range(100)] + [["2:T9", "R-new", "7", "CONFIRMED", "true"]]
+    checkin.handleInitialState((0,), pd.DataFrame({"blocks": [1], "block": [0], "tickets": [json.dumps(held)]}), None)
+    checkin.tickets.calls = 0
+    scans = pd.DataFrame([(0, f"{e}:T{i}", i, i, 1, f"T{i}", "1") for e in (1, 2) for i in range(101)], columns=columns)
+    (first,) = checkin.handleInputRows((0,), iter([scans]), None)
+    assert checkin.tickets.calls == 1 and checkin.inside.calls == 2
+    told = first["result"].value_counts().to_dict()
+    assert told == {"VALID": 199, "NOT_FOUND": 2, "ALREADY_CHECKED_IN": 1} and list(first.columns[:2]) == columns[5:]
+    (later,) = checkin.handleInputRows((0,), iter([scans]), None)
+    assert set(later["result"]) == {"ALREADY_CHECKED_IN", "NOT_FOUND"} and "R-new" in set(later["registration_id"])
