@@ -260,3 +260,24 @@ def test_scans_of_many_events_are_one_call():
     assert told == {"VALID": 199, "NOT_FOUND": 2, "ALREADY_CHECKED_IN": 1} and list(first.columns[:2]) == columns[5:]
     (later,) = checkin.handleInputRows((0,), iter([scans]), None)
     assert set(later["result"]) == {"ALREADY_CHECKED_IN", "NOT_FOUND"} and "R-new" in set(later["registration_id"])
+
+
+def test_confirmed_tickets_do_not_move(spark, sf_dir):
+    """Only codes move to the codes asked for and back to their events: one reading of the stored lines meets no exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.queries()
+        lines = plan(catalog.QUERIES["ticket_confirmation"](load(tune(spark), sf_dir))).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+
+    def moved(i):
+        level, found = depth[i], False
+        for d, line in zip(reversed(depth[:i]), reversed(lines[:i])):
+            if d < level:
+                level, found = d, found or "Exchange" in line
+        return found
+
+    assert [moved(i) for i, line in enumerate(lines) if "spark_catalog" in line].count(False) == 1

@@ -52,10 +52,12 @@ def registration_detail(reg: DataFrame, tt: DataFrame) -> DataFrame:
 def ticket_confirmation(
     reg: DataFrame, tt: DataFrame, ev: DataFrame, org: DataFrame, codes: DataFrame | None = None
 ) -> DataFrame:
-    """Registrations with ticket, event and organizer; ``codes(code)`` limits them to given tickets."""
+    """Registrations with ticket, event and organizer; ``codes(code)`` limits them to given tickets. The codes of all
+    tickets move to the given ones, those found to their events; registrations stay where they lie by event."""
     if codes is not None:
         wanted = codes.select(F.upper("code").alias("ticket_code")).distinct()
-        reg = reg.join(wanted, "ticket_code", "left_semi")
+        found = reg.select("event_id", "ticket_code").join(wanted, "ticket_code", "left_semi")
+        reg = reg.join(found, ["event_id", "ticket_code"], "left_semi")
     place = [
         "start_date", "end_date", "timezone", "address", "district", "city", "country", "location_type", "online_url",
         "cover_url",
@@ -75,7 +77,7 @@ def ticket_confirmation(
     )
     dims = events.join(owners, "organizer_id")
     return (
-        reg.join(_types(tt), "ticket_type_id")
+        with_type(reg, _types(tt))
         .join(dims, "event_id")
         .select(
             *reg.columns, "ticket_type_name", "ticket_price", "event_title", "event_slug", *place, "organizer_name",
