@@ -262,6 +262,19 @@ def test_scans_of_many_events_are_one_call():
     assert set(later["result"]) == {"ALREADY_CHECKED_IN", "NOT_FOUND"} and "R-new" in set(later["registration_id"])
 
 
+def test_requests_are_sorted_for_no_join(spark, sf_dir):
+    """Types, codes and events are looked up by hash; requests refused before the fold carry no registration."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        f = load(tune(spark), sf_dir)
+        ready = admission.prepare_requests(f.requests.repartition("event_id"), f.ev, *catalog.start_state(f), None, "public")
+        tree = plan(ready).split("REPARTITION_BY_COL")[0]
+        assert tree.count("ShuffledHashJoin") == 3 and "Sort " not in tree
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_confirmed_tickets_do_not_move(spark, sf_dir):
     """Only codes move to the codes asked for and back to their events: one reading of the stored lines meets no exchange."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
