@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from turnstile.operators import admission, identifiers
+from turnstile.operators import admission, identifiers, quality
 from turnstile.operators.rollups import with_type
 from turnstile.plans import catalog, streams
 from turnstile.session import tune
@@ -294,3 +294,16 @@ def test_confirmed_tickets_do_not_move(spark, sf_dir):
         return found
 
     assert [moved(i) for i, line in enumerate(lines) if "spark_catalog" in line].count(False) == 1
+
+
+def test_parents_pass_through_no_driver(spark, monkeypatch):
+    """Also where Spark takes them for small; rows are read only where a reference has no parent."""
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 9), ("e", 9)], "id string, event_id int")
+    parent = spark.range(3).select(F.col("id").cast("int").alias("id"))
+    assert "Broadcast" not in plan(quality._lost(rows, "event_id", parent, "id"))
+    for most in (0, 100):
+        monkeypatch.setattr(quality, "SENT_ROUND", most)
+        assert sorted(r.row_key for r in quality._orphans(rows, "event_id", parent, "id").collect()) == ["d", "e"]
+        as_text = parent.select(F.col("id").cast("string"))
+        assert sorted(r.row_key for r in quality._orphans(rows, "event_id", as_text, "id").collect()) == ["d", "e"]
+    assert quality._orphans(rows.filter("event_id < 9"), "event_id", parent, "id") is None
